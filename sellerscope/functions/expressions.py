@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,13 +16,26 @@ _MIX_SEED_STEP = 40_503
 _MIX_MODULUS = 4_294_967_296
 
 
+def micros_between(start: Column | str, end: Column | str) -> Column:
+    """Whole microseconds from ``start`` to ``end``."""
+    return F.timestamp_diff("MICROSECOND", _col(start), _col(end))
+
+
+def days(micros: Column) -> Column:
+    """Microseconds as fractional days.
+
+    Totals and means are taken over microseconds and converted last: sums of whole numbers do not
+    depend on the order of addition.
+    """
+    return micros / F.lit(_DAY_MICROS)
+
+
 def days_between(start: Column | str, end: Column | str) -> Column:
-    """Fractional days from ``start`` to ``end``."""
-    return F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / F.lit(_DAY_MICROS)
+    return days(micros_between(start, end))
 
 
 def hours_between(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / F.lit(_HOUR_MICROS)
+    return micros_between(start, end) / F.lit(_HOUR_MICROS)
 
 
 def year_month(moment: Column | str) -> Column:
@@ -40,6 +53,25 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return numerator / F.nullif(denominator, F.lit(0).cast("double"))
 
 
+def round_sql(value: Column, digits: int) -> Column:
+    """Round a double, ties away from zero, as SQL engines do: on the binary value.
+
+    ``round`` with digits decides ties on the decimal notation, so it turns 1.025, which is stored
+    as slightly less, into 1.03.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(value * scale, 0) / scale
+
+
+def round_half_even(value: Column, digits: int) -> Column:
+    """Scale, round to the nearest whole number (ties to even) and scale back, all on doubles.
+
+    ``bround`` decides ties on the decimal notation instead, which differs for values like 5.025.
+    """
+    scale = F.lit(10.0**digits)
+    return F.rint(value * scale) / scale
+
+
 def rate(total: Column, base: Column) -> Column:
     """Quotient of two totals as double, missing where the base is zero."""
     return F.try_divide(total.cast("double"), base.cast("double"))
@@ -61,6 +93,15 @@ def on_time_flag(margin: Column) -> Column:
     return F.when(margin >= 0, F.lit(1)).otherwise(F.lit(0))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    Inside a lambda the optimizer may replace a column by its definition, which would then be
+    computed for every array element; a lambda variable is never replaced.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def seeded_mix(value: Column, seed: int) -> Column:
     """Pseudo-random order key in [0, 2**32) for an integer column, fixed by ``seed``."""
     # The product can exceed the bigint range, so it is taken as decimal.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,40 +48,65 @@ def _cells(df: DataFrame, columns: Sequence[Column], kind: str) -> DataFrame:
     return df.select(F.explode(cells).alias("cell")).select("cell.i", "cell.v").filter("v IS NOT NULL")
 
 
-def _key(search: _Search) -> tuple[int, float, float]:
-    return search.column, search.low, search.high
+class _Ranges:
+    """The open ranges of every column, as expressions that look them up by column number."""
 
+    def __init__(self, searches: list[_Search], columns: int):
+        self.by_column: list[list[tuple[float, float]]] = [[] for _ in range(columns)]
+        for search in searches:
+            held = self.by_column[search.column]
+            if (search.low, search.high) not in held:
+                held.append((search.low, search.high))
+        self.width = max(len(held) for held in self.by_column)
 
-def _within(column: int, low: float, high: float) -> Column:
-    number = F.col("v").cast("double")
-    return (F.col("i") == column) & (number >= F.lit(low)) & (number <= F.lit(high))
-
+    def slot_of(self, search: _Search) -> int:
+        held = self.by_column[search.column]
+        return search.column * self.width + held.index((search.low, search.high))
 
-def _narrow(cells: DataFrame, searches: list[_Search]) -> None:
+    def bounds(self, place: int) -> tuple[Column, Column]:
+        """Low and high end of the range at ``place`` of the row's column, missing if there is none."""
+        picked = [held[place] if place < len(held) else (None, None) for held in self.by_column]
+        low, high = (
+            F.get(F.array(*[F.lit(pair[end]).cast("double") for pair in picked]), F.col("i"))
+            for end in (0, 1)
+        )
+        return low, high
+
+    def slots(self) -> Column:
+        """Number of the range a cell lies in. Ranges of one column are equal or disjoint."""
+        number, slot = F.col("v").cast("double"), None
+        for place in range(self.width):
+            low, high = self.bounds(place)
+            name = F.col("i") * self.width + place
+            inside = (number >= low) & (number <= high)
+            slot = F.when(inside, name) if slot is None else slot.when(inside, name)
+        return slot
+
+    def bins(self) -> Column:
+        """Equal-width bin of a cell inside its range."""
+        number, position = F.col("v").cast("double"), None
+        for place in range(self.width):
+            low, high = self.bounds(place)
+            step = F.floor((number - low) / (high - low) * BINS_PER_ROUND).cast("int")
+            inside = F.col("slot") == F.col("i") * self.width + place
+            position = F.when(inside, step) if position is None else position.when(inside, step)
+        return F.least(position, F.lit(BINS_PER_ROUND - 1))
+
+
+def _narrow(cells: DataFrame, searches: list[_Search], columns: int) -> None:
     """One pass: count equal-width bins of every open range and step into the wanted bin."""
-    ranges = sorted({_key(s) for s in searches})
+    ranges = _Ranges(searches, columns)
     number = F.col("v").cast("double")
-    slot = None
-    for n, (column, low, high) in enumerate(ranges):
-        width = (high - low) / BINS_PER_ROUND
-        position = F.least(
-            F.floor((number - F.lit(low)) / F.lit(width)).cast("int"), F.lit(BINS_PER_ROUND - 1)
-        )
-        inside = _within(column, low, high)
-        entry = F.struct(F.lit(n).alias("n"), position.alias("bin"))
-        slot = F.when(inside, entry) if slot is None else slot.when(inside, entry)
-    # Ranges of one column may only overlap when equal, so each value belongs to one of them.
-    bins = (
-        cells.select(slot.alias("slot"), number.alias("x"))
+    counted = (
+        cells.withColumn("slot", ranges.slots())
         .filter("slot IS NOT NULL")
-        .groupBy("slot.n", "slot.bin")
-        .agg(F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .groupBy("slot", ranges.bins().alias("bin"))
+        .agg(F.count("*").alias("rows"), F.min(number).alias("low"), F.max(number).alias("high"))
         .collect()
     )  # at most BINS_PER_ROUND rows per range
     for search in searches:
-        here = ranges.index(_key(search))
-        below = search.below
-        for row in sorted((b for b in bins if b["n"] == here), key=lambda b: b["bin"]):
+        slot, below = ranges.slot_of(search), search.below
+        for row in sorted((b for b in counted if b["slot"] == slot), key=lambda b: b["bin"]):
             if below + row["rows"] > search.rank:
                 search.low, search.high = row["low"], row["high"]
                 search.below, search.inside = below, row["rows"]
@@ -90,34 +114,32 @@ def _narrow(cells: DataFrame, searches: list[_Search]) -> None:
             below += row["rows"]
 
 
-def _listed(cells: DataFrame, searches: list[_Search]) -> list[Ranked]:
+def _listed(cells: DataFrame, searches: list[_Search], columns: int) -> list[Ranked]:
     """Last pass: list the distinct values of the final ranges and pick by running count."""
-    ranges = sorted({_key(s) for s in searches})
-    wanted = reduce(lambda a, b: a | b, [_within(*r) for r in ranges])
-    counted = cells.filter(wanted).groupBy("i", "v").agg(F.count("*").alias("rows"))
-    slot = None
-    for n, bounds in enumerate(ranges):
-        slot = (F.when if slot is None else slot.when)(_within(*bounds), n)
-    order = Window.partitionBy("slot").orderBy("v")
-    running = counted.withColumn("slot", slot).withColumn(
-        "before", F.sum("rows").over(order) - F.col("rows")
+    ranges = _Ranges(searches, columns)
+    counted = (
+        cells.withColumn("slot", ranges.slots())
+        .filter("slot IS NOT NULL")
+        .groupBy("slot", "v")
+        .agg(F.count("*").alias("rows"))
     )
-    hit = reduce(
-        lambda a, b: a | b,
-        [
-            (F.col("slot") == ranges.index(_key(s)))
-            & (F.col("before") <= s.rank - s.below)
-            & (F.col("before") + F.col("rows") > s.rank - s.below)
-            for s in searches
-        ],
+    order = Window.partitionBy("slot").orderBy("v")
+    running = counted.withColumn("before", F.sum("rows").over(order) - F.col("rows"))
+    offsets: list[list[int]] = [[] for _ in range(columns * ranges.width)]
+    for search in searches:
+        offsets[ranges.slot_of(search)].append(search.rank - search.below)
+    wanted = F.get(
+        F.array(*[F.array(*[F.lit(o).cast("bigint") for o in each]).cast("array<bigint>") for each in offsets]),
+        F.col("slot"),
     )
-    picks = running.filter(hit).collect()  # one row per wanted rank
-    found = []
+    first, last = F.col("before"), F.col("before") + F.col("rows")
+    picks = running.filter(F.exists(wanted, lambda o: (first <= o) & (o < last))).collect()
+    found = []  # the picks are one row per wanted rank at most
     for search in searches:
-        here, offset = ranges.index(_key(search)), search.rank - search.below
+        slot, offset = ranges.slot_of(search), search.rank - search.below
         row = next(
             p for p in picks
-            if p["slot"] == here and p["before"] <= offset < p["before"] + p["rows"]
+            if p["slot"] == slot and p["before"] <= offset < p["before"] + p["rows"]
         )
         found.append(Ranked(row["v"], search.below + row["before"], row["rows"]))
     return found
@@ -153,10 +175,10 @@ def values_at(
         pending = [s for s in searches if s.open()]
         if not pending:
             break
-        _narrow(cells, pending)
+        _narrow(cells, pending, len(columns))
     result: list[list[Ranked]] = [[] for _ in columns]
     if searches:
-        for search, ranked in zip(searches, _listed(cells, searches)):
+        for search, ranked in zip(searches, _listed(cells, searches, len(columns))):
             result[search.column].append(ranked)
     return result
 

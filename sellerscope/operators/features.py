@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sellerscope.functions.expressions import days_between, hours_between, rate, safe_ratio
+from sellerscope.functions.expressions import (
+    days_between,
+    hours_between,
+    rate,
+    round_half_even,
+    safe_ratio,
+)
 from sellerscope.functions.joins import lookup_join
 from sellerscope.functions.ranks import medians
 from sellerscope.plans.views import review_facts
@@ -214,11 +220,11 @@ def feature_medians(frame: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS)
 def target_profile(frame: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:
     """Rows and feature means per label, with the overall negative rate."""
     counted = frame.groupBy("is_negative").agg(
-        F.count("*").alias("n_rows"), *[F.bround(F.avg(c), 2).alias(c) for c in columns]
+        F.count("*").alias("n_rows"), *[round_half_even(F.avg(c), 2).alias(c) for c in columns]
     )
     overall = F.sum("n_rows").over(Window.partitionBy())  # two rows, one per label
     negative = F.sum(F.col("n_rows") * F.col("is_negative")).over(Window.partitionBy())
-    return counted.withColumn("target_rate", F.round(negative / overall, 6)).orderBy("is_negative")
+    return counted.withColumn("target_rate", (negative / overall)).orderBy("is_negative")
 
 
 def standardize(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sellerscope.functions.expressions import tiers
+from sellerscope.functions.expressions import round_half_even, tiers
 from sellerscope.functions.ranks import running_totals
 
 
@@ -140,10 +140,10 @@ def evaluate(scored: DataFrame, name: str, threshold: float = 0.5) -> DataFrame:
         .withColumn("curve", curve)
         .select(
             F.lit(name).alias("model"),
-            F.round("curve.roc_auc", 4).alias("roc_auc"),
-            F.round("curve.average_precision", 4).alias("pr_auc"),
-            F.round("f1", 4).alias("f1"),
-            F.round("accuracy", 4).alias("accuracy"),
+            round_half_even(F.col("curve.roc_auc"), 4).alias("roc_auc"),
+            round_half_even(F.col("curve.average_precision"), 4).alias("pr_auc"),
+            round_half_even(F.col("f1"), 4).alias("f1"),
+            round_half_even(F.col("accuracy"), 4).alias("accuracy"),
         )
     )
 

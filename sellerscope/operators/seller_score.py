@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sellerscope.functions.expressions import clip, days_between, on_time_flag, tiers
+from sellerscope.functions.expressions import (
+    clip,
+    days,
+    on_time_flag,
+    round_half_even,
+    tiers,
+)
 from sellerscope.functions.ranks import medians
+from sellerscope.plans.views import margin_micros
 from sellerscope.session import stage
 from sellerscope.settings import (
     LOW_SCORE_MAX,
@@ -42,11 +49,9 @@ def seller_stats(tables: Tables, min_orders: int = SCORED_SELLER_MIN_ORDERS) ->
     orders = tables.orders.select(
         "order_id",
         "order_status",
-        days_between("order_delivered_customer_date", "order_estimated_delivery_date").alias(
-            "days_vs_estimate"
-        ),
+        margin_micros().alias("margin_micros"),
     ).join(latest_reviews(tables), "order_id", "left")
-    margin = F.col("days_vs_estimate")
+    margin = F.col("margin_micros")
     complaint = F.when(F.col("review_score") <= LOW_SCORE_MAX, 1.0).otherwise(0.0)
     canceled = F.when(F.col("order_status") == "canceled", 1.0).otherwise(0.0)
     totals = (
@@ -57,7 +62,7 @@ def seller_stats(tables: Tables, min_orders: int = SCORED_SELLER_MIN_ORDERS) ->
             F.avg("review_score").alias("avg_review_score"),
             F.avg(on_time_flag(margin).cast("double")).alias("on_time_rate"),
             F.avg(complaint).alias("complaint_rate"),
-            F.avg(margin).alias("avg_days_early"),
+            days(F.avg(margin)).alias("avg_days_early"),
             F.avg(canceled).alias("cancel_rate"),
         )
         .filter(F.col("n_orders") >= min_orders)
@@ -118,11 +123,11 @@ def seller_trust_scores(
     total = F.lit(0.0)
     for name, weight in weights.items():
         total = total + F.col(f"u_{name}") * F.lit(weight)
-    scored = components.withColumn("trust_score", F.bround(F.lit(100.0) * total, 2))
+    scored = components.withColumn("trust_score", round_half_even(F.lit(100.0) * total, 2))
     return scored.select(
         *[c for c in components.columns if not c.startswith("u_")],
         "trust_score",
-        *[F.bround(f"u_{name}", 4).alias(f"c_{name}") for name in weights],
+        *[round_half_even(F.col(f"u_{name}"), 4).alias(f"c_{name}") for name in weights],
         grade_of(F.col("trust_score"), grades).alias("trust_grade"),
     ).orderBy(F.desc("trust_score"), "seller_id")
 
@@ -139,7 +144,7 @@ def trust_breakdown(scores: DataFrame, weights: dict[str, float] = SCORE_WEIGHTS
             F.lit(name).alias("component"),
             F.col(f"c_{name}").alias("normalized_value"),
             F.lit(weight).alias("weight"),
-            F.bround(F.col(f"c_{name}") * F.lit(weight) * 100, 2).alias("contribution"),
+            round_half_even(F.col(f"c_{name}") * F.lit(weight) * 100, 2).alias("contribution"),
         )
         for name, weight in weights.items()
     ]
@@ -163,7 +168,7 @@ def trust_summary(scores: DataFrame) -> DataFrame:
     score = F.col("trust_score")
     return scores.agg(
         F.count("*").alias("n_sellers"),
-        F.round(F.avg(score), 6).alias("mean_score"),
+        F.avg(score).alias("mean_score"),
         F.lit(middle).cast("double").alias("median_score"),
         F.min(score).alias("min_score"),
         F.max(score).alias("max_score"),
@@ -191,7 +196,7 @@ def trust_histogram(scores: DataFrame, bins: int = 30) -> DataFrame:
         edges.join(counted, "bin", "left")
         .select(
             "bin",
-            F.round(F.col("x.low") + F.col("bin") * step, 6).alias("bin_start"),
+            (F.col("x.low") + F.col("bin") * step).alias("bin_start"),
             F.coalesce("n", F.lit(0)).alias("n_sellers"),
         )
         .orderBy("bin")
@@ -221,6 +226,6 @@ def mean_score_by_grade(scores: DataFrame) -> DataFrame:
     """Sellers and mean figures of each grade present."""
     return (
         scores.groupBy("trust_grade")
-        .agg(F.count("*").alias("n_sellers"), F.round(F.avg("trust_score"), 6).alias("mean_score"))
+        .agg(F.count("*").alias("n_sellers"), F.avg("trust_score").alias("mean_score"))
         .orderBy("trust_grade")
     )

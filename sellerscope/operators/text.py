@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sellerscope.functions.expressions import clip
+from sellerscope.functions.expressions import bind, clip, round_half_even
 from sellerscope.operators.metrics import binary_metrics, evaluate
 from sellerscope.operators.splits import seeded_sample, stratified_split, with_balanced_weight
 from sellerscope.session import stage
@@ -62,21 +62,19 @@ def lexicon_scores(
     Polarity words count +1 or -1, reversed after a negator; the total is divided by the root of
     the number of words.
     """
-    tokens = F.col("_tokens")
 
-    def polarity(word: Column, place: Column) -> Column:
+    def polarity(tokens: Column, word: Column, place: Column) -> Column:
         value = F.when(word.isin(*positive), 1).when(word.isin(*negative), -1).otherwise(0)
         turned = F.get(tokens, place - 1).isin(*negators)
         return F.when(turned, -value).otherwise(value)
 
-    total = F.aggregate(F.transform(tokens, polarity), F.lit(0), lambda a, b: a + b)
-    length = F.size(tokens)
-    scored = F.when(length > 0, total / F.sqrt(length.cast("double"))).otherwise(F.lit(0.0))
-    return (
-        frame.withColumn("_tokens", words(F.col(text)))
-        .withColumn("lexicon_score", clip(scored, -1.0, 1.0))
-        .drop("_tokens")
-    )
+    def score(tokens: Column) -> Column:
+        values = F.transform(tokens, lambda word, place: polarity(tokens, word, place))
+        total = F.aggregate(values, F.lit(0), lambda a, b: a + b)
+        length = F.size(tokens)
+        return F.when(length > 0, total / F.sqrt(length.cast("double"))).otherwise(F.lit(0.0))
+
+    return frame.withColumn("lexicon_score", clip(bind(words(F.col(text)), score), -1.0, 1.0))
 
 
 def lexicon_labels(frame: DataFrame, text: str = "text", margin: float = POLARITY_MARGIN) -> DataFrame:
@@ -95,8 +93,8 @@ def lexicon_eval(reviews: DataFrame, low_score_max: int = LOW_SCORE_MAX) -> Data
         (F.col("lexicon_score") < -POLARITY_MARGIN).cast("int").alias("prediction"),
     )
     return binary_metrics(predicted).select(
-        F.round("accuracy", 4).alias("lexicon_accuracy"),
-        F.round("f1", 4).alias("lexicon_f1_negative"),
+        round_half_even(F.col("accuracy"), 4).alias("lexicon_accuracy"),
+        round_half_even(F.col("f1"), 4).alias("lexicon_f1_negative"),
     )
 
 
@@ -122,18 +120,15 @@ def _low(low_score_max: int) -> Column:
 # --- TF-IDF -------------------------------------------------------------------------------------
 
 
-def _with_terms(frame: DataFrame, text: str) -> DataFrame:
-    """Add ``_terms``: the single words and the pairs of neighbouring words, in one array."""
-    single = F.col("_single")
-    pairs = F.transform(single, lambda w, i: F.concat(w, F.lit(" "), F.get(single, i + 1)))
-    return (
-        frame.withColumn(
-            "_single",
-            F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM_PATTERN), 0),
-        )
-        .withColumn("_terms", F.concat(single, F.filter(pairs, lambda p: p.isNotNull())))
-        .drop("_single")
-    )
+def _terms(text: str) -> Column:
+    """The single words of a text and the pairs of neighbouring words, in one array."""
+
+    def with_pairs(single: Column) -> Column:
+        pairs = F.transform(single, lambda w, i: F.concat(w, F.lit(" "), F.get(single, i + 1)))
+        return F.concat(single, F.filter(pairs, lambda p: p.isNotNull()))
+
+    plain = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return bind(F.regexp_extract_all(plain, F.lit(TERM_PATTERN), 0), with_pairs)
 
 
 def tfidf_vocabulary(
@@ -144,16 +139,17 @@ def tfidf_vocabulary(
     Occurrences and rows per term are totalled in one grouping by term, combined before the
     shuffle: each row contributes its terms once as they stand and once without repeats.
     """
-    occurrence = F.transform(
-        "_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
-    )
-    presence = F.transform(
-        F.array_distinct("_terms"),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-    )
+
+    def entries(terms: Column, tf: int, df: int) -> Column:
+        return F.transform(
+            terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+        )
+
+    # The outer form keeps the optimizer from tokenizing twice for a "not empty" filter; texts
+    # without terms leave a missing term, which has no rows to its name and is filtered out.
+    both = bind(_terms(text), lambda t: F.concat(entries(t, 1, 0), entries(F.array_distinct(t), 0, 1)))
     counted = (
-        _with_terms(frame.select(text), text)
-        .select(F.explode(F.concat(occurrence, presence)).alias("t"))
+        frame.select(F.explode_outer(both).alias("t"))
         .groupBy("t.term")
         .agg(F.sum("t.tf").alias("total"), F.sum("t.df").alias("df"))
         .filter(F.col("df") >= min_df)
@@ -183,8 +179,7 @@ def tfidf(
     idf = F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1.0
     weighted_terms = vocabulary.select("term", "term_index", idf.alias("idf"))
     counted = (
-        _with_terms(frame.select(row_id, text), text)
-        .select(row_id, F.explode("_terms").alias("term"))
+        frame.select(row_id, F.explode_outer(_terms(text)).alias("term"))
         .join(F.broadcast(weighted_terms), "term")
         .groupBy(row_id, "term", "term_index", "idf")
         .agg(F.count("*").alias("tf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sellerscope.functions.expressions import days_between
+from sellerscope.functions.expressions import days, micros_between
 from sellerscope.functions.joins import left_join_many, lookup_join
 from sellerscope.settings import LOW_SCORE_MAX
 from sellerscope.tables import Tables
@@ -27,14 +27,22 @@ _CORE = [
 ]
 
 
+def delivery_micros() -> Column:
+    """Microseconds from purchase to delivery, missing while undelivered."""
+    return micros_between("order_purchase_timestamp", "order_delivered_customer_date")
+
+
+def margin_micros() -> Column:
+    """Microseconds the delivery beat the estimate by; negative when late."""
+    return micros_between("order_delivered_customer_date", "order_estimated_delivery_date")
+
+
 def delivery_days() -> Column:
-    """Days from purchase to delivery, missing while undelivered."""
-    return days_between("order_purchase_timestamp", "order_delivered_customer_date")
+    return days(delivery_micros())
 
 
 def days_vs_estimate() -> Column:
-    """Days the delivery beat the estimate by; negative when late."""
-    return days_between("order_delivered_customer_date", "order_estimated_delivery_date")
+    return days(margin_micros())
 
 
 def order_core(tables: Tables) -> DataFrame:
@@ -98,8 +106,8 @@ def order_facts(tables: Tables, how: str = "left") -> DataFrame:
         "order_id",
         "customer_id",
         "order_status",
-        delivery_days().alias("delivery_days"),
-        days_vs_estimate().alias("days_vs_estimate"),
+        delivery_micros().alias("delivery_micros"),
+        margin_micros().alias("margin_micros"),
     )
     joined = orders.join(review_facts(tables), "order_id", how)
     return joined.select(
