@@ -25,7 +25,7 @@ from sellerscope.settings import (  # noqa: E402
 )
 from sellerscope.sources.csv_tables import load_catalog, read_csv_table, register_views  # noqa: E402
 from sellerscope.sources.artifacts import write_csv  # noqa: E402
-from sellerscope.sources.testdata import from_testdata, read_table  # noqa: E402
+from sellerscope.sources.testdata import from_testdata, read_table, read_texts  # noqa: E402
 from sellerscope.tables import Tables  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,7 +175,7 @@ def _model_predictions(t: Tables) -> DataFrame:
 
 def _document_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").selectExpr("doc_id", "1 - quality AS label")
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = read_texts(spark, sf_dir, "documents", "doc_id", "text")
     return text.train_text_classifier(documents.join(labels, "doc_id"), "doc_id")[1]
 
 
@@ -191,18 +191,18 @@ def _top_terms(t: Tables) -> DataFrame:
 
 
 def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(text.tfidf(read_table(spark, sf_dir, "documents"), "doc_id"), 9)
+    return _rounded(text.tfidf(read_texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"), 9)
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = text.with_words(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = text.with_words(read_texts(spark, sf_dir, "documents", "doc_id", "text"))
     return documents.select(
         "doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens")
     )
 
 
 def _document_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = read_texts(spark, sf_dir, "documents", "doc_id", "text")
     return _rounded(text.lexicon_labels(documents).drop("text"), 9)
 
 
@@ -306,7 +306,7 @@ def queries() -> dict[str, Query]:
         "tokens": _tokens,
         "document_lexicon": _document_lexicon,
         "tfidf_vocab": lambda spark, sf_dir: text.tfidf_vocabulary(
-            read_table(spark, sf_dir, "documents")
+            read_texts(spark, sf_dir, "documents", "text")
         ),
         "tfidf": _tfidf,
         "document_classifier": _document_classifier,

@@ -40,7 +40,11 @@ PROFILE_COLUMNS = [
 
 
 def basket_totals(tables: Tables) -> DataFrame:
-    """One row per order: item, product and category figures in a single grouping."""
+    """One row per order: item, product and category figures in a single grouping.
+
+    The number of sellers comes with ``seller_figures``, so one distinct count is left here and
+    rows are not repeated for it.
+    """
     volume = F.col("product_length_cm") * F.col("product_height_cm") * F.col("product_width_cm")
     products = tables.products.select(
         "product_id",
@@ -50,9 +54,7 @@ def basket_totals(tables: Tables) -> DataFrame:
         "product_photos_qty",
         "product_description_lenght",
     )
-    items = tables.order_items.select(
-        "order_id", "product_id", "seller_id", "price", "freight_value"
-    )
+    items = tables.order_items.select("order_id", "product_id", "price", "freight_value")
     return (
         lookup_join(items, products, "product_id", "left", spread_by="order_id")
         .groupBy("order_id")
@@ -60,7 +62,6 @@ def basket_totals(tables: Tables) -> DataFrame:
             F.sum("price").cast("double").alias("price_total"),
             F.sum("freight_value").cast("double").alias("freight_total"),
             F.count("*").alias("n_items"),
-            F.count_distinct("seller_id").alias("n_sellers"),
             F.count_distinct("product_category_name").alias("n_categories"),
             F.avg("product_weight_g").alias("product_weight_g"),
             F.avg("product_volume_cm3").alias("product_volume_cm3"),
@@ -77,15 +78,14 @@ def payment_totals(tables: Tables) -> DataFrame:
     )
 
 
-def seller_history(tables: Tables) -> DataFrame:
-    """Per order, the mean review average of its sellers, weighted by item.
+def seller_figures(tables: Tables) -> DataFrame:
+    """Per order: its sellers, and the mean review average of its sellers weighted by item.
 
-    Both steps work on (seller, order) rows with an item count, so neither a large basket nor a
-    popular seller multiplies rows.
+    Every step works on (seller, order) rows with an item count, so neither a large basket nor a
+    popular seller multiplies rows. ``known_sellers`` counts the sellers that have any review.
     """
     pairs = tables.order_items.groupBy("seller_id", "order_id").agg(F.count("*").alias("n_items"))
     scored = review_facts(tables).select("order_id", "n_scored", "score_sum")
-    # Sellers with a review but no score stay, with a missing average.
     averages = (
         pairs.join(scored, "order_id")
         .groupBy("seller_id")
@@ -93,21 +93,33 @@ def seller_history(tables: Tables) -> DataFrame:
             rate(
                 F.sum(F.col("n_items") * F.col("score_sum")),
                 F.sum(F.col("n_items") * F.col("n_scored")),
-            ).alias("seller_avg")
+            ).alias("seller_avg"),
+            F.lit(1).alias("known"),
         )
     )
-    known = F.when(F.col("seller_avg").isNotNull(), F.col("n_items"))
+    weight = F.when(F.col("seller_avg").isNotNull(), F.col("n_items"))
     return (
-        lookup_join(pairs, averages, "seller_id", "inner", spread_by="order_id")
+        lookup_join(pairs, averages, "seller_id", "left", spread_by="order_id")
         .groupBy("order_id")
         .agg(
-            rate(F.sum(F.col("n_items") * F.col("seller_avg")), F.sum(known)).alias(
+            F.count("*").alias("n_sellers"),
+            F.count("known").alias("known_sellers"),
+            rate(F.sum(F.col("n_items") * F.col("seller_avg")), F.sum(weight)).alias(
                 "seller_avg_review_hist"
-            )
+            ),
         )
     )
 
 
+def seller_history(tables: Tables) -> DataFrame:
+    """Mean review average of the sellers of every order that has a reviewed seller."""
+    return (
+        seller_figures(tables)
+        .filter("known_sellers > 0")
+        .select("order_id", "seller_avg_review_hist")
+    )
+
+
 def state_codes(states: DataFrame, column: str = "customer_state") -> DataFrame:
     """Code of every state present: its place in sorted order, from 0.
 
@@ -118,8 +130,8 @@ def state_codes(states: DataFrame, column: str = "customer_state") -> DataFrame:
     return distinct.select(column, position.cast("int").alias(f"{column}_code"))
 
 
-def raw_order_features(tables: Tables) -> DataFrame:
-    """Joined inputs per (delivered order, scored review), nothing derived or filled in."""
+def order_inputs(tables: Tables) -> DataFrame:
+    """One row per delivered order: basket, payment, seller, customer and delivery figures."""
     purchase = "order_purchase_timestamp"
     orders = tables.orders.filter(F.col("order_status") == "delivered").select(
         "order_id",
@@ -129,10 +141,7 @@ def raw_order_features(tables: Tables) -> DataFrame:
         days_between(purchase, "order_estimated_delivery_date").alias("estimated_delivery_days"),
         purchase,
     )
-    reviews = tables.order_reviews.filter("review_score IS NOT NULL").select(
-        "order_id", "review_score"
-    )
-    # Customers come first, the other inputs are one row per order and share its partitioning.
+    # Customers come first; the other inputs are one row per order and share its partitioning.
     return (
         lookup_join(
             orders,
@@ -143,23 +152,33 @@ def raw_order_features(tables: Tables) -> DataFrame:
         )
         .join(basket_totals(tables), "order_id")
         .join(payment_totals(tables), "order_id", "left")
-        .join(reviews, "order_id")
+        .join(seller_figures(tables), "order_id", "left")
     )
 
 
+def reviewed_orders(tables: Tables) -> DataFrame:
+    """Order inputs per scored review.
+
+    The order rows are written first: a join of two plain shuffles is the form in which adaptive
+    execution can split an order with very many reviews.
+    """
+    scored = tables.order_reviews.filter("review_score IS NOT NULL").select(
+        "order_id", "review_score"
+    )
+    return stage(order_inputs(tables), "order-inputs").join(scored, "order_id")
+
+
 def derived_features(
-    raw: DataFrame, history: DataFrame, label_max_score: int = NEGATIVE_LABEL_MAX_SCORE
+    reviewed: DataFrame, label_max_score: int = NEGATIVE_LABEL_MAX_SCORE
 ) -> DataFrame:
-    """Label and the 19 features before imputation, in order."""
+    """Add the features that follow from other columns, and the label."""
     moment = F.col("order_purchase_timestamp")
-    frame = (
-        raw.join(history, "order_id", "left")
-        .withColumn("freight_ratio", safe_ratio(F.col("freight_total"), F.col("price_total")))
+    return (
+        reviewed.withColumn("freight_ratio", safe_ratio(F.col("freight_total"), F.col("price_total")))
         .withColumn("purchase_dow", F.weekday(moment))
         .withColumn("purchase_month", F.month(moment))
         .withColumn("is_negative", (F.col("review_score") <= label_max_score).cast("int"))
     )
-    return frame
 
 
 def to_timestamp_or_missing(value: Column) -> Column:
@@ -183,10 +202,7 @@ def unfilled_features(
     tables: Tables, label_max_score: int = NEGATIVE_LABEL_MAX_SCORE
 ) -> DataFrame:
     """Feature matrix with missing values left in place, written once for the passes that follow."""
-    frame = stage(
-        derived_features(raw_order_features(tables), seller_history(tables), label_max_score),
-        "features",
-    )
+    frame = stage(derived_features(reviewed_orders(tables), label_max_score), "features")
     coded = lookup_join(
         frame, state_codes(frame), "customer_state", "left", spread_by="order_id"
     ).withColumn("customer_state_code", F.coalesce("customer_state_code", F.lit(-1)))

@@ -47,16 +47,20 @@ def days_vs_estimate() -> Column:
 
 def order_core(tables: Tables) -> DataFrame:
     """One row per (order, review), or per order without review, with the delivery facts."""
-    orders = lookup_join(
+    reviewed = left_join_many(
         tables.orders.drop("order_delivered_carrier_date"),
+        tables.order_reviews.select("order_id", *_REVIEW),
+        "order_id",
+    )
+    with_customer = lookup_join(
+        reviewed,
         tables.customers.select("customer_id", *_CUSTOMER),
         "customer_id",
         "left",
         spread_by="order_id",
     )
-    reviewed = left_join_many(orders, tables.order_reviews.select("order_id", *_REVIEW), "order_id")
     return (
-        reviewed.withColumn("delivery_days", delivery_days())
+        with_customer.withColumn("delivery_days", delivery_days())
         .withColumn("days_vs_estimate", days_vs_estimate())
         .select(*_CORE)
     )

@@ -12,6 +12,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a text table, spread over all cores if the scan has fewer splits than that.
+
+    A small table may be a single row group, which one task would tokenize alone. A table with
+    splits enough for every core is left where it is.
+    """
+    frame = read_table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy relations over the parquet files in ``sf_dir``; keys stay bigint."""
     raw_orders = read_table(spark, sf_dir, "orders")
