@@ -12,7 +12,7 @@ _HOUR_MICROS = 3_600_000_000.0
 
 # Multiplicative mixing of integer ids, the same arithmetic in any SQL engine.
 _MIX_MULTIPLIER = 2_654_435_761
-_MIX_SEED_STEP = 40_503
+_MIX_SEED_STEP = 2_246_822_519
 _MIX_MODULUS = 4_294_967_296
 
 
@@ -108,7 +108,7 @@ def seeded_mix(value: Column, seed: int) -> Column:
     reduced = F.pmod(value.cast("bigint"), F.lit(_MIX_MODULUS)).cast("decimal(10,0)")
     product = reduced * F.lit(_MIX_MULTIPLIER).cast("decimal(10,0)")
     return F.pmod(
-        product + F.lit(seed * _MIX_SEED_STEP), F.lit(_MIX_MODULUS).cast("decimal(10,0)")
+        product + F.lit(seed * _MIX_SEED_STEP % _MIX_MODULUS).cast("decimal(10,0)"), F.lit(_MIX_MODULUS).cast("decimal(10,0)")
     ).cast("bigint")
 
 

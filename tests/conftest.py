@@ -20,7 +20,7 @@ PURCHASE = datetime(2018, 1, 1)
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "sellerscope-tests",
         "local[8]",
@@ -29,6 +29,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("staging")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
