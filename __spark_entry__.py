@@ -16,7 +16,7 @@ from sellerscope.functions.expressions import clip, round_sql  # noqa: E402
 from sellerscope.operators import attribution, features, metrics, models, splits, text  # noqa: E402
 from sellerscope.operators import seller_score as seller  # noqa: E402
 from sellerscope.plans import reports, views  # noqa: E402
-from sellerscope.session import stage, staging_root  # noqa: E402
+from sellerscope.session import stage, staging_path  # noqa: E402
 from sellerscope.settings import (  # noqa: E402
     FEATURE_COLUMNS,
     NEGATIVE_LABEL_MAX_SCORE,
@@ -108,13 +108,13 @@ def _orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = stage(from_testdata(spark, sf_dir).orders, "orders")
-    path = f"{staging_root(spark)}/orders-csv"
+    path = staging_path(spark, "orders-csv")
     write_csv(source, path)
     return read_csv_table(spark, "orders", path)
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{staging_root(spark)}/catalog"
+    root = staging_path(spark, "catalog")
     tables = from_testdata(spark, sf_dir)
     for name, frame in tables.items():
         write_csv(frame, f"{root}/csv/{name}")
@@ -227,7 +227,7 @@ def queries() -> dict[str, Query]:
         "seller_trust_scores": _scores,
         "trust_breakdown": lambda t: seller.trust_breakdown(_scores(t)),
         "grade_counts": lambda t: seller.grade_counts(_scores(t)),
-        "trust_summary": lambda t: _rounded(seller.trust_summary(_scores(t)), 6),
+        "trust_summary": lambda t: _rounded(seller.trust_summary(_scores(t)), 9),
         "trust_histogram": lambda t: _rounded(seller.trust_histogram(_scores(t)), 6),
         "trust_top_bottom": lambda t: seller.trust_top_bottom(_scores(t)),
         "trust_by_grade": lambda t: seller.sellers_of_grade(_scores(t), grade),

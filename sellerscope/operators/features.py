@@ -102,7 +102,7 @@ def seller_figures(tables: Tables) -> DataFrame:
         lookup_join(pairs, averages, "seller_id", "left", spread_by="order_id")
         .groupBy("order_id")
         .agg(
-            F.count("*").alias("n_sellers"),
+            F.count("seller_id").alias("n_sellers"),
             F.count("known").alias("known_sellers"),
             rate(F.sum(F.col("n_items") * F.col("seller_avg")), F.sum(weight)).alias(
                 "seller_avg_review_hist"

@@ -182,7 +182,7 @@ def train_mlp(
     inputs = stage(scaling.transform(balanced).select(LABEL, "features"), "mlp-train")
     validation = stage(scaling.transform(parts["val"]).select(LABEL, "features"), "mlp-val")
 
-    best_auc, best_model_, weights, waited, trained = -1.0, None, None, 0, 0
+    best_auc, kept, weights, waited, trained = -1.0, None, None, 0, 0
     for trained in range(1, max_rounds + 1):
         network = MultilayerPerceptronClassifier(
             labelCol=LABEL,
@@ -199,12 +199,12 @@ def train_mlp(
             score(PipelineModel([fitted]), validation, LABEL).withColumnRenamed(LABEL, "label")
         ).first()["roc_auc"]
         if auc is not None and auc > best_auc + MLP_MIN_GAIN:
-            best_auc, best_model_, waited = auc, fitted, 0
+            best_auc, kept, waited = auc, fitted, 0
         else:
             waited += 1
             if waited >= patience:
                 break
-    final = PipelineModel([*scaling.stages, best_model_ or fitted])
+    final = PipelineModel([*scaling.stages, kept or fitted])
     metrics = evaluate(scored_labels(final, parts["test"]), "perceptron").select(
         "*",
         F.lit(round(best_auc, 4)).alias("best_val_roc_auc"),

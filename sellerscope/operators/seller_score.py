@@ -220,12 +220,3 @@ def sellers_of_grade(scores: DataFrame, grade: str | None = None, rows: int | No
     chosen = scores if grade is None else scores.filter(F.col("trust_grade") == grade)
     view = chosen.select(*LEADERBOARD_COLUMNS).orderBy(F.desc("trust_score"), "seller_id")
     return view if rows is None else view.limit(rows)
-
-
-def mean_score_by_grade(scores: DataFrame) -> DataFrame:
-    """Sellers and mean figures of each grade present."""
-    return (
-        scores.groupBy("trust_grade")
-        .agg(F.count("*").alias("n_sellers"), F.avg("trust_score").alias("mean_score"))
-        .orderBy("trust_grade")
-    )

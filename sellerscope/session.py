@@ -44,6 +44,11 @@ def staging_root(spark: SparkSession) -> str:
     return _LOCAL_STAGING[app]
 
 
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new path below the staging folder."""
+    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 
@@ -51,6 +56,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     later jobs read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = staging_path(spark, label)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
