@@ -168,9 +168,8 @@ def _logistic_attribution(t: Tables) -> DataFrame:
 
 
 def _model_predictions(t: Tables) -> DataFrame:
-    frame = splits.time_split(_features(t))
-    train, test = (frame.filter(F.col("split") == part) for part in ("train", "test"))
-    return models.predictions(models.fit_logistic(train), test, "order_id")
+    parts = models.timed_parts(features.order_features(t))
+    return models.predictions(models.fit_logistic(parts["train"]), parts["test"], "order_id")
 
 
 def _document_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,9 +287,9 @@ def queries() -> dict[str, Query]:
         "sentiment_mix": lambda t: text.sentiment_mix(_sample(t)),
         "text_reviews_by_score": lambda t: text.text_reviews_by_score(_sample(t)),
         # models: trained, so without SQL to compare to
-        "model_ranking": lambda t: models.compare_models(_features(t), TREES, TREES).metrics,
+        "model_ranking": lambda t: models.compare_models(features.order_features(t), TREES, TREES).metrics,
         "model_predictions": _model_predictions,
-        "mlp_metrics": lambda t: models.train_mlp(_features(t), max_rounds=6).metrics,
+        "mlp_metrics": lambda t: models.train_mlp(features.order_features(t), max_rounds=6).metrics,
         "what_if_risk": _what_if_risk,
         "boosted_attribution": _boosted_attribution,
         "logistic_attribution": _logistic_attribution,

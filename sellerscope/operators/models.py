@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sellerscope.operators.metrics import best_model, evaluate, model_ranking, roc_auc, with_prediction
 from sellerscope.operators.splits import oversample, time_split, with_balanced_weight
-from sellerscope.session import stage
+from sellerscope.session import ROW_KEYS, stage, stage_with_row_keys
 from sellerscope.settings import FEATURE_COLUMNS, RANDOM_SEED
 
 LABEL = "is_negative"
@@ -126,15 +126,29 @@ def scored_labels(model: PipelineModel, frame: DataFrame) -> DataFrame:
     return stage(scored, "scored")
 
 
+def timed_parts(
+    features: DataFrame, validation_fraction: float | None = None
+) -> dict[str, DataFrame]:
+    """Train, test and, if asked for, validation rows of a feature matrix, stored with row keys.
+
+    The row keys make the cut exact even inside a run of equal rows.
+    """
+    stored = stage_with_row_keys(features, "split-rows")
+    ties = ("order_id", "review_score", *ROW_KEYS)
+    split = time_split(stored, ties=ties, validation_fraction=validation_fraction)
+    names = ("train", "test") if validation_fraction is None else ("train", "val", "test")
+    return {name: split.filter(F.col("split") == name).drop("split") for name in names}
+
+
 def compare_models(
     features: DataFrame,
     shallow_trees: int = SHALLOW_TREES,
     deep_trees: int = DEEP_TREES,
     seed: int = RANDOM_SEED,
 ) -> Comparison:
-    """Train the three models on the earlier 80 % of a stored feature matrix, test on the rest."""
-    split = time_split(features)
-    train, test = (split.filter(F.col("split") == part).drop("split") for part in ("train", "test"))
+    """Train the three models on the earlier 80 % of a feature matrix, test on the rest."""
+    parts = timed_parts(features)
+    train, test = (parts[part].drop(*ROW_KEYS) for part in ("train", "test"))
     models = {
         "logistic": fit_logistic(train),
         "boosted_shallow": fit_boosted(train, trees=shallow_trees, seed=seed),
@@ -175,10 +189,9 @@ def train_mlp(
     Spark's network has no class weights, so positives are drawn up to the negatives. Training goes
     on in short rounds from the last weights; the weights of the best round are kept.
     """
-    split = time_split(features, validation_fraction=0.1)
-    parts = {p: split.filter(F.col("split") == p).drop("split") for p in ("train", "val", "test")}
+    parts = timed_parts(features, validation_fraction=0.1)
     scaling = Pipeline(stages=scaling_stages(parts["train"])).fit(parts["train"])
-    balanced = oversample(parts["train"], ["order_id", "order_purchase_timestamp", "review_score"], seed=seed)
+    balanced = oversample(parts["train"], ["order_id", "review_score", *ROW_KEYS], seed=seed)
     inputs = stage(scaling.transform(balanced).select(LABEL, "features"), "mlp-train")
     validation = stage(scaling.transform(parts["val"]).select(LABEL, "features"), "mlp-val")
 

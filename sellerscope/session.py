@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Columns that tell rows of a stored table apart when all their values are equal.
+ROW_KEYS = ["_file", "_row"]
 
 _LOCAL_STAGING: dict[str, str] = {}
 
@@ -59,3 +63,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = staging_path(spark, label)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_with_row_keys(df: DataFrame, label: str) -> DataFrame:
+    """``stage`` with the place of every row in the written files, which no retry can change."""
+    return stage(df, label).select(
+        "*",
+        F.xxhash64("_metadata.file_path").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+    )

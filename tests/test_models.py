@@ -51,6 +51,13 @@ def test_perceptron(matrix):
     assert models.score(result.model, matrix, "order_id").count() == matrix.count()
 
 
+def test_split_is_exact_inside_equal_rows(matrix):
+    one = matrix.limit(1)
+    repeated = one.crossJoin(one.sparkSession.range(101).select()).select(*one.columns)
+    parts = models.timed_parts(repeated, validation_fraction=0.1)
+    assert {name: part.count() for name, part in parts.items()} == {"train": 72, "val": 8, "test": 21}
+
+
 def test_sampled_contributions_add_up(matrix, comparison):
     model = comparison.models["boosted_shallow"]
     parts = attribution.sampled_attribution(matrix, model, rows=40, permutations=2)
