@@ -28,6 +28,11 @@ from sellerscope.sources.artifacts import write_csv  # noqa: E402
 from sellerscope.sources.testdata import from_testdata, read_table, read_texts  # noqa: E402
 from sellerscope.tables import Tables  # noqa: E402
 
+try:
+    from sellerscope.llm import queries as llm_queries
+except ImportError:  # the subpackage is optional
+    llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Boosting rounds of the registered model queries; the library's defaults are 400 and 500.
@@ -309,8 +314,10 @@ def queries() -> dict[str, Query]:
         ),
         "tfidf": _tfidf,
         "document_classifier": _document_classifier,
+        **(llm_queries.queries() if llm_queries else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements(LINEAR_WEIGHTS)
+    llm_sql = llm_queries.oracle_sql() if llm_queries else {}
+    return {**oracle_queries.statements(LINEAR_WEIGHTS), **llm_sql}
