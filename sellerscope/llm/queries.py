@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sellerscope.llm import packing, token_counts, token_files
+from sellerscope.llm import decontamination, oracles, packing, quality_rules, token_counts, token_files
 from sellerscope.session import stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), stage)
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), stage)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "token-files")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
@@ -33,8 +53,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_token_counts, op8_token_files, op10_best_fit_packing)}
+    return {q.__name__: q for q in (op1_token_counts, op4_decontamination, op6_quality_rules, op8_token_files, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.statements()
