@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sellerscope.llm import decontamination, oracles, packing, quality_rules, secret_scan, token_counts, token_files
+from sellerscope.llm import decontamination, near_duplicates, oracles, packing, quality_rules, secret_scan, token_counts, token_files
 from sellerscope.session import stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +58,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_index(token_files.read_token_files(spark, path), stage)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), stage)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(stage(pieces, "token-pieces"))
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_token_counts, op4_decontamination, op6_quality_rules, op7_secret_scan, op8_token_files, op10_best_fit_packing)}
+    return {q.__name__: q for q in (op1_token_counts, op4_decontamination, op6_quality_rules, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
