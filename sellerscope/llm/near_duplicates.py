@@ -9,12 +9,14 @@ probability 1/4; all chunks have two errors or more with a probability of about
 
 Buckets are not expanded into pairs:
 
-1. Each bucket links its members to a pivot, in ``PIVOTS`` different choices over the buckets. These pairs, one or a few for a
-   member, are confirmed on the full sets, and links are closed to components.
+1. Each bucket pairs its members with a pivot. Members carry a sketch of their signature and the class of their
+   size, so most pairs that cannot be similar go at once; the others are confirmed on the full sets, and links are
+   closed to components.
 2. Buckets whose members now share a component are done. The others are compared in blocks of at most
-   ``BLOCK`` by ``BLOCK`` members; only pairs of different components whose signatures are close enough
-   (``MAX_DIFFERENT``, beyond which a similarity of 0.75 has a probability below 1e-8) leave a block, and are
-   confirmed on the full sets.
+   ``BLOCK`` by ``BLOCK`` members; only pairs of different components whose signatures are close enough leave a
+   block, each from the first bucket it shares, and are confirmed on the full sets.
+
+A similarity of 0.75 exceeds ``MAX_DIFFERENT`` values, or ``MAX_SKETCH_BITS`` bits of the sketch, with a probability below 1e-6.
 
 Components are found by alternating large-star and small-star steps on stored edges. A node of many links, or a bucket of
 many members, is met by joins that adaptive execution splits, never gathered in one place.
@@ -41,11 +43,15 @@ CHUNKS = 16
 CHUNK_VALUES = 5
 VALUE_BITS = 16
 VALUES = CHUNKS * CHUNK_VALUES
-MAX_DIFFERENT = 45
-PIVOTS = 4
+MAX_DIFFERENT = 40
+SKETCH_BITS = (58, 64)
+MAX_SKETCH_BITS = 38
 BLOCK = 512
+_SLOT_BITS = 7  # lowest bits of a bucket: which chunk and value it leaves out
+_SIZE_BITS = 6  # lowest bits of a sketch: the class of the set's size
+_SIZE_BASE = 1.34  # above 4/3, so similar sets are in the same or in neighbouring classes
 _SET_BLOCK = 250_000  # shingles hashed at once
-_WORDS_KEPT = 500_000  # hashes of words a worker remembers
+_WORDS_KEPT = 200_000  # hashes of words a worker remembers
 
 Staged = Callable[[DataFrame, str], DataFrame]
 
@@ -106,7 +112,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
-    for batch in batches:
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
         sets = [shingle_set(t, known) for t in batch.column(1).to_pylist()]
         filled = [s for s in sets if len(s)]
         found = iter(_signatures(filled))
@@ -120,20 +126,35 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
 
 
+def _sketches(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit words of a signature's bits: the lowest of every value, then the next of the first values."""
+    bits = np.concatenate([values & 1, (values >> 1) & 1], axis=1).astype(np.uint64)
+    out, at = [], 0
+    for n in SKETCH_BITS:
+        word = np.zeros(len(values), np.uint64)
+        for i in range(n):
+            word |= bits[:, at + i] << np.uint64(64 - n + i)
+        out.append(word)
+        at += n
+    out[0] |= (np.log(sizes) / np.log(_SIZE_BASE)).astype(np.uint64)
+    return [w.view(np.int64) for w in out]
+
+
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, pivot choice, node): one bucket for each chunk and value left out of it."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 4096):
-            part = batch.slice(begin, 4096)
-            values = _as_matrix(part.column(1)).astype(np.uint64).reshape(-1, CHUNKS, CHUNK_VALUES)
-            keys = np.zeros((len(values), CHUNKS, CHUNK_VALUES), np.uint64)
-            for out in range(CHUNK_VALUES):
-                for i, v in enumerate(v for v in range(CHUNK_VALUES) if v != out):
-                    keys[:, :, out] |= values[:, :, v] << np.uint64(VALUE_BITS * i)
-            keys = _mixed(keys.reshape(len(values), VALUES) ^ _SLOTS)
-            nodes = part.column(0).take(pa.array(np.repeat(np.arange(len(values)), VALUES)))
-            choice = np.tile(np.arange(VALUES, dtype=np.int32) % PIVOTS, len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(choice), nodes], ["bucket", "choice", "node"])
+    """(bucket, node, sketch): one bucket for each chunk and value left out of it."""
+    slots = np.arange(VALUES, dtype=np.uint64)
+    for part in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
+        signature = _as_matrix(part.column(2))
+        values = signature.astype(np.uint64).reshape(-1, CHUNKS, CHUNK_VALUES)
+        keys = np.zeros((len(values), CHUNKS, CHUNK_VALUES), np.uint64)
+        for out in range(CHUNK_VALUES):
+            for i, v in enumerate(v for v in range(CHUNK_VALUES) if v != out):
+                keys[:, :, out] |= values[:, :, v] << np.uint64(VALUE_BITS * i)
+        keys = _mixed(keys.reshape(len(values), VALUES) ^ _SLOTS) >> np.uint64(_SLOT_BITS) << np.uint64(_SLOT_BITS) | slots
+        rows = np.repeat(np.arange(len(values)), VALUES)
+        nodes = part.column(0).take(pa.array(rows))
+        sketch = [pa.array(w[rows]) for w in _sketches(signature, part.column(1).to_numpy())]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), nodes, *sketch], ["bucket", "node", "s1", "s2"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +173,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
+def _first_slot(other: np.ndarray) -> np.ndarray:
+    """The first bucket that two signatures share, by where they differ."""
+    parts = other.reshape(-1, CHUNKS, CHUNK_VALUES)
+    errors = parts.sum(axis=2, keepdims=True)
+    return ((errors == 0) | ((errors == 1) & parts)).reshape(-1, VALUES).argmax(axis=1)
+
+
 def _compared(group: pd.DataFrame) -> pd.DataFrame:
     """Close pairs of different components between the left and the right members of one block."""
     left, right = group[group.side == 0], group[group.side == 1]
     a, b = (np.frombuffer(b"".join(s.signature), np.uint16).reshape(-1, VALUES) for s in (left, right))
+    slot = int(group.bucket.iat[0]) & ((1 << _SLOT_BITS) - 1)
     size_a, size_b = left.n_shingles.to_numpy(), right.n_shingles.to_numpy()
     comp_b, node_b = right.component.to_numpy(), right.node.to_numpy()
     out = []
@@ -163,7 +192,8 @@ def _compared(group: pd.DataFrame) -> pd.DataFrame:
         near = (comp_b != left.component.iat[i]) & (node_b != left.node.iat[i])
         near &= 100 * np.minimum(size_b, size_a[i]) >= PERCENT * np.maximum(size_b, size_a[i])
         at = np.flatnonzero(near)
-        at = at[(b[at] != a[i]).sum(axis=1) <= MAX_DIFFERENT]
+        other = b[at] != a[i]
+        at = at[(other.sum(axis=1) <= MAX_DIFFERENT) & (_first_slot(other) == slot)]
         node = left.node.iat[i]
         out += [(min(node, x), max(node, x)) for x in node_b[at].tolist()]
     return pd.DataFrame(out, columns=["a", "b"])
@@ -225,27 +255,30 @@ class _Join:
         met = pairs.join(side("a"), "a").join(side("b"), "b").filter(_close(("n_a", "n_b")))
         return met.mapInArrow(_near, f"a {self.kind}, b {self.kind}").distinct()
 
-    def _links(self, pairs: DataFrame) -> DataFrame:
+    def _links(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs that are similar on their full sets, stored."""
-        pairs = self.staged(pairs, "close-pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = self.docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
-        texts = self.staged(texts.distinct(), "close-texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
         met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
         return self.staged(met.mapInArrow(_confirmed, f"a {self.kind}, b {self.kind}").distinct(), "sure-pairs")
 
     def run(self) -> DataFrame:
         """(node, component) of every node that is linked."""
-        schema = f"bucket bigint, choice int, node {self.kind}"
-        members = self.classes.select("node", "signature").mapInArrow(_indexed, schema)
-        rank = F.xxhash64("node", "choice")
-        pivots = members.groupBy("bucket").agg(F.min_by("node", rank).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-        shared = self.staged(members.select("bucket", "node").join(pivots.drop("n"), "bucket"), "buckets")
-        pairs = shared.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        first = self._links(self._sized(pairs.distinct()))
+        schema = f"bucket bigint, node {self.kind}, s1 bigint, s2 bigint"
+        members = self.classes.select("node", "n_shingles", "signature").mapInArrow(_indexed, schema)
+        pivot = F.min_by(F.struct("node", "s1", "s2"), F.xxhash64("node")).alias("pivot")
+        pivots = members.groupBy("bucket").agg(pivot, F.count("*").alias("n")).filter("n > 1").drop("n")
+        shared = self.staged(members.join(pivots, "bucket"), "buckets")
+        size = lambda c: F.col(c).bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))
+        bits = F.bit_count(F.shiftright(F.col("s1").bitwiseXOR(F.col("pivot.s1")), _SIZE_BITS).bitwiseAND(F.lit((1 << SKETCH_BITS[0]) - 1)))
+        bits += F.bit_count(F.col("s2").bitwiseXOR(F.col("pivot.s2")))
+        near = shared.filter((F.abs(size("s1") - size("pivot.s1")) <= 1) & (bits <= MAX_SKETCH_BITS)).filter("node <> pivot.node")
+        pairs = near.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        nodes = shared.select("node").distinct()
+        texts = self.docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
+        texts = self.staged(texts.distinct(), "shared-texts")
+        first = self._links(self._sized(pairs), texts)
         found = self.staged(components(first, self.staged), "components")
-        rest = self._links(self._rest(shared, found))
+        rest = self._links(self._rest(shared.select("bucket", "node"), found), texts)
         if rest.isEmpty():
             return found
         return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), self.staged)
@@ -256,7 +289,7 @@ class _Join:
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
         # a bucket of two has been compared already
         open_ = mixed.filter("lo <> hi AND n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        rows = self.staged(placed.join(open_, "bucket").drop("pivot"), "open-buckets")
+        rows = self.staged(placed.join(open_, "bucket"), "open-buckets")
         own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int")
         rows = rows.withColumn("own", own).join(self.classes.select("node", "n_shingles", "signature"), "node")
         others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -264,7 +297,7 @@ class _Join:
         right = F.transform(F.filter(others, lambda i: i <= F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
         dealt = rows.select("bucket", "node", "component", "n_shingles", "signature", F.explode(F.concat(left, right)).alias("x")).select("*", "x.*").drop("x")
         pairs = dealt.groupBy("bucket", "i", "j").applyInPandas(_compared, f"a {self.kind}, b {self.kind}")
-        return pairs.distinct()
+        return self.staged(pairs.distinct(), "close-pairs")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
