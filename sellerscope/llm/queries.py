@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sellerscope.llm import decontamination, near_duplicates, oracles, packing, quality_rules, secret_scan, token_counts, token_files
+import corpus_pipeline
+from sellerscope.llm import decontamination, html_text, near_duplicates, oracles, packing, quality_rules, secret_scan, token_counts, token_files, url_filters
 from sellerscope.session import stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, bad) of the pages whose document, named by the number in the path, is labelled."""
+    url = F.col("url")
+    number = F.regexp_extract(url_filters.path(url), "/([0-9]{1,18})[^/]*/?$", 1)
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    named = pages.select(url_filters.host(url).alias("host"), F.when(number != "", number).cast("bigint").alias("doc_id"))
+    return named.join(known, "doc_id").select("host", "bad")
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = stage(page_outcomes(pages, _table(spark, sf_dir, "labels")), "page-outcomes")
+    return url_filters.judge_pages(pages, outcomes, stage).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), stage)
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -68,8 +89,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_token_counts, op4_decontamination, op6_quality_rules, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_best_fit_packing)}
+    own = [
+        op1_token_counts,
+        op2_url_filters,
+        op3_html_text,
+        op4_decontamination,
+        op6_quality_rules,
+        op7_secret_scan,
+        op8_token_files,
+        op9_near_duplicates,
+        op10_best_fit_packing,
+    ]
+    return {q.__name__: q for q in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.statements()
+    return oracles.statements() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
