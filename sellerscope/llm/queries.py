@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sellerscope.llm import decontamination, html_text, near_duplicates, oracles, packing, quality_rules, secret_scan, token_counts, token_files, url_filters
+from sellerscope.llm import decontamination, html_text, near_duplicates, oracles, packing, quality_rules, repeated_text, secret_scan, token_counts, token_files, url_filters
 from sellerscope.session import stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text.remove_repeats(_table(spark, sf_dir, "documents"), stage).drop("spans")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), stage)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -94,6 +98,7 @@ def queries() -> dict[str, Query]:
         op2_url_filters,
         op3_html_text,
         op4_decontamination,
+        op5_repeated_text,
         op6_quality_rules,
         op7_secret_scan,
         op8_token_files,
