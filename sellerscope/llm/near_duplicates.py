@@ -9,7 +9,7 @@ probability 1/4; all chunks have two errors or more with a probability of about
 
 Buckets are not expanded into pairs:
 
-1. Each bucket pairs its members with a pivot. Members carry a sketch of their signature and the class of their
+1. Each bucket pairs its members with a pivot; of those a member keeps the ``BEST_PIVOTS`` it shares most buckets with. Members carry a sketch of their signature and the class of their
    size, so most pairs that cannot be similar go at once; the others are confirmed on the full sets, and links are
    closed to components.
 2. Buckets whose members now share a component are done. The others are compared in blocks of at most
@@ -46,6 +46,7 @@ VALUES = CHUNKS * CHUNK_VALUES
 MAX_DIFFERENT = 40
 SKETCH_BITS = (58, 64)
 MAX_SKETCH_BITS = 38
+BEST_PIVOTS = 8
 BLOCK = 512
 _SLOT_BITS = 7  # lowest bits of a bucket: which chunk and value it leaves out
 _SIZE_BITS = 6  # lowest bits of a sketch: the class of the set's size
@@ -266,13 +267,18 @@ class _Join:
         schema = f"bucket bigint, node {self.kind}, s1 bigint, s2 bigint"
         members = self.classes.select("node", "n_shingles", "signature").mapInArrow(_indexed, schema)
         pivot = F.min_by(F.struct("node", "s1", "s2"), F.xxhash64("node")).alias("pivot")
-        pivots = members.groupBy("bucket").agg(pivot, F.count("*").alias("n")).filter("n > 1").drop("n")
+        pivots = members.groupBy("bucket").agg(pivot, F.count("*").alias("n")).filter("n > 1")
         shared = self.staged(members.join(pivots, "bucket"), "buckets")
         size = lambda c: F.col(c).bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))
         bits = F.bit_count(F.shiftright(F.col("s1").bitwiseXOR(F.col("pivot.s1")), _SIZE_BITS).bitwiseAND(F.lit((1 << SKETCH_BITS[0]) - 1)))
         bits += F.bit_count(F.col("s2").bitwiseXOR(F.col("pivot.s2")))
         near = shared.filter((F.abs(size("s1") - size("pivot.s1")) <= 1) & (bits <= MAX_SKETCH_BITS)).filter("node <> pivot.node")
-        pairs = near.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        # a member of larger buckets keeps its best pivots, out of at most one a bucket; step 2 sees all their pairs
+        counted = near.filter("n > 2").groupBy("node", F.col("pivot.node").alias("other")).agg(F.count("*").alias("n"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("n", "other")), asc=False), 1, BEST_PIVOTS)
+        most = counted.groupBy("node").agg(best.alias("best")).select("node", F.explode("best").alias("x")).select("node", "x.other")
+        both = near.filter("n = 2").select("node", F.col("pivot.node").alias("other")).union(most)
+        pairs = both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         nodes = shared.select("node").distinct()
         texts = self.docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
         texts = self.staged(texts.distinct(), "shared-texts")
