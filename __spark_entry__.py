@@ -16,7 +16,7 @@ from sellerscope.functions.expressions import clip, round_sql  # noqa: E402
 from sellerscope.operators import attribution, features, metrics, models, splits, text  # noqa: E402
 from sellerscope.operators import seller_score as seller  # noqa: E402
 from sellerscope.plans import reports, views  # noqa: E402
-from sellerscope.session import stage, staging_path  # noqa: E402
+from sellerscope.session import ROW_KEYS, stage, staging_path  # noqa: E402
 from sellerscope.settings import (  # noqa: E402
     FEATURE_COLUMNS,
     NEGATIVE_LABEL_MAX_SCORE,
@@ -24,7 +24,7 @@ from sellerscope.settings import (  # noqa: E402
     SCORE_WEIGHTS,
 )
 from sellerscope.sources.csv_tables import load_catalog, read_csv_table, register_views  # noqa: E402
-from sellerscope.sources.artifacts import write_csv  # noqa: E402
+from sellerscope.sources.artifacts import load_model, save_model, write_csv  # noqa: E402
 from sellerscope.sources.testdata import from_testdata, read_table, read_texts  # noqa: E402
 from sellerscope.tables import Tables  # noqa: E402
 
@@ -35,8 +35,8 @@ except ImportError:  # the subpackage is optional
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Boosting rounds of the registered model queries; the library's defaults are 400 and 500.
-TREES = 20
+# Folders of the compared models, by application and tables: trained by the first query that asks for them.
+_TRAINED: dict[tuple[str, str], str] = {}
 
 # A fixed linear model over all features, to check attribution without training.
 LINEAR_WEIGHTS = {
@@ -153,28 +153,63 @@ def _what_if_rows(frame: DataFrame) -> DataFrame:
     return models.scenario_rows(_scenarios(frame), typical)
 
 
-def _what_if_risk(t: Tables) -> DataFrame:
-    frame = _features(t)
-    model = models.fit_boosted(frame, trees=TREES)
-    return metrics.risk_tiers(models.score(model, _what_if_rows(frame), "customer_state"))
+def _trained(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the train and test rows, every compared model, and the ranking."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        path = staging_path(spark, "trained")
+        parts = models.timed_parts(features.order_features(from_testdata(spark, sf_dir)))
+        for name in ("train", "test"):
+            parts[name].drop(*ROW_KEYS).write.parquet(f"{path}/{name}")
+        found = models.compare_on(*(spark.read.parquet(f"{path}/{name}") for name in ("train", "test")))
+        for name, model in found.models.items():
+            save_model(model, f"{path}/{name}", name, FEATURE_COLUMNS, found.metrics)
+        _TRAINED[key] = path
+    return _TRAINED[key]
 
 
-def _boosted_attribution(t: Tables) -> DataFrame:
-    frame = _features(t)
-    model = models.fit_boosted(frame, trees=TREES)
-    return attribution.mean_absolute(attribution.sampled_attribution(frame, model))
+def _part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{_trained(spark, sf_dir)}/{name}")
 
 
-def _logistic_attribution(t: Tables) -> DataFrame:
-    frame = _features(t)
-    model = models.fit_logistic(frame)
-    scaled = model.stages[0].transform(frame)
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.model_ranking(load_model(spark, f"{_trained(spark, sf_dir)}/logistic")[3])
+
+
+def _winner(spark: SparkSession, sf_dir: str, kind: str = ""):
+    """The best of the stored models, or of those whose name starts with ``kind``."""
+    best = _ranking(spark, sf_dir).filter(F.col("model").startswith(kind)).first()["model"]
+    return load_model(spark, f"{_trained(spark, sf_dir)}/{best}")[0]
+
+
+def _winner_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(models.predictions(_winner(spark, sf_dir), _part(spark, sf_dir, "test"), "order_id"), "predictions")
+
+
+def _what_if_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _what_if_rows(_part(spark, sf_dir, "train"))
+    return metrics.risk_tiers(models.score(_winner(spark, sf_dir), rows, "customer_state"))
+
+
+def _boosted_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = _part(spark, sf_dir, "train")
+    return attribution.mean_absolute(attribution.sampled_attribution(train, _winner(spark, sf_dir, "boosted")))
+
+
+def _logistic_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _winner(spark, sf_dir, "logistic")
+    scaled = model.stages[0].transform(_part(spark, sf_dir, "train"))
     return attribution.linear_attribution(scaled, attribution.logistic_coefficients(model))
 
 
-def _model_predictions(t: Tables) -> DataFrame:
-    parts = models.timed_parts(features.order_features(t))
-    return models.predictions(models.fit_logistic(parts["train"]), parts["test"], "order_id")
+def _model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.predictions(_winner(spark, sf_dir, "logistic"), _part(spark, sf_dir, "test"), "order_id")
+
+
+def _test_labels(t: Tables) -> DataFrame:
+    """What of the predictions does not depend on training: keys and labels of the test rows."""
+    test = models.timed_parts(features.order_features(t))["test"]
+    return test.select("order_id", F.col("is_negative").alias("label"))
 
 
 def _document_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,20 +324,23 @@ def queries() -> dict[str, Query]:
         "lexicon_labels": lambda t: text.lexicon_labels(_texts(t)).drop("text", "lexicon_score"),
         "lexicon_eval": lambda t: text.lexicon_eval(_texts(t)),
         "labelled_sample": lambda t: _sample(t).drop("lexicon_score"),
-        "sentiment_mix": lambda t: text.sentiment_mix(_sample(t)),
-        "text_reviews_by_score": lambda t: text.text_reviews_by_score(_sample(t)),
+        "sentiment_mix": lambda t: text.sentiment_mix(text.lexicon_labels(_texts(t))),
+        "text_reviews_by_score": lambda t: text.text_reviews_by_score(_texts(t)),
         # models: trained, so without SQL to compare to
-        "model_ranking": lambda t: models.compare_models(features.order_features(t), TREES, TREES).metrics,
-        "model_predictions": _model_predictions,
-        "mlp_metrics": lambda t: models.train_mlp(features.order_features(t), max_rounds=6).metrics,
-        "what_if_risk": _what_if_risk,
-        "boosted_attribution": _boosted_attribution,
-        "logistic_attribution": _logistic_attribution,
+        "model_test_labels": _test_labels,
+        "mlp_metrics": lambda t: models.train_mlp(features.order_features(t)).metrics,
         "text_classifier": _text_classifier,
         "top_terms": _top_terms,
     }
     return {
         **{name: on(build) for name, build in table_queries.items()},
+        "model_ranking": _ranking,
+        "model_predictions": _model_predictions,
+        "best_model_report": lambda spark, sf_dir: metrics.classification_report(_winner_predictions(spark, sf_dir)),
+        "best_model_confusion": lambda spark, sf_dir: metrics.confusion_matrix(_winner_predictions(spark, sf_dir)),
+        "what_if_risk": _what_if_risk,
+        "boosted_attribution": _boosted_attribution,
+        "logistic_attribution": _logistic_attribution,
         "orders_by_status": _orders_by_status,
         "csv_scan": _csv_scan,
         "catalog_load": _catalog,

@@ -21,6 +21,11 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", _col(start), _col(end))
 
 
+def whole(number: Column) -> Column:
+    """A bigint as decimal, whose sums are exact at any size and in any order."""
+    return number.cast("decimal(18,0)")
+
+
 def days(micros: Column) -> Column:
     """Microseconds as fractional days.
 

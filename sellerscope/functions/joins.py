@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
+SIZE_FACTOR = 4  # bytes in memory for each estimated byte
+MAX_SALTS = 64  # the lookup is repeated this often at most
 _UNITS = {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
 
 
@@ -19,13 +20,14 @@ def _bytes(setting: str) -> int:
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate of ``df`` is within the broadcast threshold.
 
-    The estimate starts from the file sizes; joins multiply it and filters or groupings never lower
-    it, so an answer of True rests on an upper bound. Unknown sizes answer False.
+    The estimate starts from compressed file sizes, scaled to the columns read, so it can be lower
+    than the rows in memory; ``SIZE_FACTOR`` allows for that. Joins multiply it and filters or
+    groupings never lower it. Unknown sizes answer False.
     """
     spark = df.sparkSession
     limit = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b"))
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return limit > 0 and int(str(estimate)) <= limit
+    return limit > 0 and SIZE_FACTOR * int(str(estimate)) <= limit
 
 
 def lookup_join(
@@ -34,18 +36,21 @@ def lookup_join(
     key: str,
     how: str,
     spread_by: str,
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to a frame with one row per ``key`` where some keys may be very frequent.
 
     A lookup of proven small size is broadcast, so the facts do not move. Otherwise the rows of a
-    key are spread over ``salts`` tasks by a hash of ``spread_by``, and the lookup is repeated once
-    per salt. Rows with a missing key are spread in the same way.
+    key are spread over ``salts`` tasks, by default as many as there are shuffle partitions up to
+    ``MAX_SALTS``, by a hash of ``spread_by``, and the lookup is repeated once per salt. Rows with a missing key are spread in the same way.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"lookup_join supports inner and left, not {how}")
     if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), key, how)
+    if salts is None:
+        partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = min(max(partitions, 2), MAX_SALTS)
     salted_facts = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     )
@@ -53,13 +58,16 @@ def lookup_join(
     return salted_facts.join(salted_lookup, [key, "_salt"], how).drop("_salt")
 
 
-def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def left_join_many(left: DataFrame, right: DataFrame, key: str, skewed_right: bool = False) -> DataFrame:
     """Left join that keeps the fan-out of ``right``, whose keys may be very frequent.
 
     Adaptive execution can split an oversized partition of either side of an inner join, but only
-    the left side of a left join. So matches come from an inner join and the rows without a match
-    from an anti join against the distinct keys.
+    the left side of a left join. Where the right side is known to have very frequent keys, matches
+    come from an inner join and the rows without a match from an anti join against the distinct
+    keys; both sides are then read twice.
     """
+    if not skewed_right:
+        return left.join(right, key, "left")
     matched = left.join(right, key, "inner")
     unmatched = left.join(right.select(key).distinct(), key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 from sellerscope.session import stage
 
 BINS_PER_ROUND = 1024
+# Rows of one range whose distinct values are listed in one task at most, unless they are all equal.
 MAX_LISTED_ROWS = 1_000_000
-MAX_ROUNDS = 10
 
 
 @dataclass
@@ -171,10 +171,8 @@ def values_at(
                 _Search(i, rank, row["low"], row["high"], 0, row["rows"])
                 for rank in ranks(row["rows"])
             ]
-    for _ in range(MAX_ROUNDS):
-        pending = [s for s in searches if s.open()]
-        if not pending:
-            break
+    # Every round splits an open range, as its lowest and highest value fall into different bins.
+    while pending := [s for s in searches if s.open()]:
         _narrow(cells, pending, len(columns))
     result: list[list[Ranked]] = [[] for _ in columns]
     if searches:

@@ -14,8 +14,6 @@ from sellerscope.operators.splits import seeded_sample
 from sellerscope.session import stage
 from sellerscope.settings import FEATURE_COLUMNS, RANDOM_SEED
 
-SAMPLE_ROWS = 2000
-
 
 def linear_attribution(frame: DataFrame, coefficients: dict[str, float]) -> DataFrame:
     """Mean |w * (x - mean x)| per feature, in log-odds; exact for a linear model."""
@@ -49,20 +47,20 @@ def sampled_attribution(
     frame: DataFrame,
     model: PipelineModel,
     row_id: str = "order_id",
-    rows: int = SAMPLE_ROWS,
+    rows: int | None = None,
     permutations: int = 4,
     columns: Sequence[str] = FEATURE_COLUMNS,
     seed: int = RANDOM_SEED,
 ) -> DataFrame:
-    """Shapley contributions per (sampled row, feature), for any fitted model.
+    """Shapley contributions per (row, feature), for any fitted model.
 
-    Features are switched from the sample's mean to the row's value one at a time, in a few fixed
+    Features are switched from the rows' mean to the row's value one at a time, in a few fixed
     random orders; a feature's contribution is the change of the probability at its switch, averaged
     over the orders. Contributions of a row add up to its probability less the mean row's.
-    ``rows * permutations * (features + 1)`` rows are scored, whatever the size of ``frame``.
+    All rows are explained, or ``rows`` of them in seeded order.
     """
     sample = stage(
-        seeded_sample(frame, row_id, rows, seed)
+        (frame if rows is None else seeded_sample(frame, row_id, rows, seed))
         .select(*columns)
         .withColumn("row_no", F.monotonically_increasing_id()),
         "attribution-sample",

@@ -203,8 +203,10 @@ def unfilled_features(
 ) -> DataFrame:
     """Feature matrix with missing values left in place, written once for the passes that follow."""
     frame = stage(derived_features(reviewed_orders(tables), label_max_score), "features")
+    # The codes are stored, so their true size is known and the matrix does not move for them.
+    codes = stage(state_codes(frame), "state-codes")
     coded = lookup_join(
-        frame, state_codes(frame), "customer_state", "left", spread_by="order_id"
+        frame, codes, "customer_state", "left", spread_by="order_id"
     ).withColumn("customer_state_code", F.coalesce("customer_state_code", F.lit(-1)))
     return numeric_or_missing(coded, FEATURE_COLUMNS).select(*KEPT_COLUMNS, *FEATURE_COLUMNS)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -148,7 +150,17 @@ def compare_models(
 ) -> Comparison:
     """Train the three models on the earlier 80 % of a feature matrix, test on the rest."""
     parts = timed_parts(features)
-    train, test = (parts[part].drop(*ROW_KEYS) for part in ("train", "test"))
+    return compare_on(parts["train"].drop(*ROW_KEYS), parts["test"].drop(*ROW_KEYS), shallow_trees, deep_trees, seed)
+
+
+def compare_on(
+    train: DataFrame,
+    test: DataFrame,
+    shallow_trees: int = SHALLOW_TREES,
+    deep_trees: int = DEEP_TREES,
+    seed: int = RANDOM_SEED,
+) -> Comparison:
+    """Train the three models on ``train`` and rank them on ``test``; both should be stored tables."""
     models = {
         "logistic": fit_logistic(train),
         "boosted_shallow": fit_boosted(train, trees=shallow_trees, seed=seed),
@@ -176,6 +188,46 @@ class NeuralResult:
     metrics: DataFrame
 
 
+@dataclass
+class RoundLog:
+    """Models of the training rounds with their validation figures, and where the best one stands.
+
+    A round is the best so far if it beats the best before it by more than ``min_gain``.
+    """
+
+    patience: int
+    min_gain: float
+    rounds: list[tuple[MultilayerPerceptronClassificationModel, float]] = field(default_factory=list)
+    best: int = 0
+
+    def add(self, model: MultilayerPerceptronClassificationModel, figure: float | None) -> None:
+        self.rounds.append((model, -1.0 if figure is None else figure))
+        if self.rounds[-1][1] > self.rounds[self.best][1] + self.min_gain:
+            self.best = len(self.rounds) - 1
+
+    @property
+    def stalled(self) -> bool:
+        """Whether as many rounds as patience allows have passed since the best one."""
+        return len(self.rounds) - 1 - self.best >= self.patience
+
+
+def _network_rounds(
+    inputs: DataFrame, hidden: Sequence[int], steps: int, seed: int
+) -> Iterator[MultilayerPerceptronClassificationModel]:
+    """Networks trained on and on, each for ``steps`` iterations from the weights of the one before."""
+    network = MultilayerPerceptronClassifier(
+        labelCol=LABEL,
+        layers=[len(FEATURE_COLUMNS), *hidden, 2],
+        maxIter=steps,
+        blockSize=MLP_BLOCK,
+        seed=seed,
+    )
+    while True:
+        fitted = network.fit(inputs)
+        yield fitted
+        network = network.copy().setInitialWeights(fitted.weights)
+
+
 def train_mlp(
     features: DataFrame,
     hidden: Sequence[int] = MLP_HIDDEN,
@@ -195,37 +247,22 @@ def train_mlp(
     inputs = stage(scaling.transform(balanced).select(LABEL, "features"), "mlp-train")
     validation = stage(scaling.transform(parts["val"]).select(LABEL, "features"), "mlp-val")
 
-    best_auc, kept, weights, waited, trained = -1.0, None, None, 0, 0
-    for trained in range(1, max_rounds + 1):
-        network = MultilayerPerceptronClassifier(
-            labelCol=LABEL,
-            layers=[len(FEATURE_COLUMNS), *hidden, 2],
-            maxIter=steps_per_round,
-            blockSize=MLP_BLOCK,
-            seed=seed,
-        )
-        if weights is not None:
-            network.setInitialWeights(weights)
-        fitted = network.fit(inputs)
-        weights = fitted.weights
-        auc = roc_auc(
-            score(PipelineModel([fitted]), validation, LABEL).withColumnRenamed(LABEL, "label")
-        ).first()["roc_auc"]
-        if auc is not None and auc > best_auc + MLP_MIN_GAIN:
-            best_auc, kept, waited = auc, fitted, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    final = PipelineModel([*scaling.stages, kept or fitted])
+    log = RoundLog(patience, MLP_MIN_GAIN)
+    for fitted in islice(_network_rounds(inputs, hidden, steps_per_round, seed), max_rounds):
+        scored = score(PipelineModel([fitted]), validation, LABEL).withColumnRenamed(LABEL, "label")
+        log.add(fitted, roc_auc(scored).first()["roc_auc"])
+        if log.stalled:
+            break
+    final = PipelineModel([*scaling.stages, log.rounds[log.best][0]])
     metrics = evaluate(scored_labels(final, parts["test"]), "perceptron").select(
         "*",
-        F.lit(round(best_auc, 4)).alias("best_val_roc_auc"),
-        F.lit(trained).alias("epochs_trained"),
+        F.lit(round(log.rounds[log.best][1], 4)).alias("best_val_roc_auc"),
+        F.lit(len(log.rounds)).alias("epochs_trained"),
     )
     return NeuralResult(final, metrics)
 
 
+# The inputs of a scenario.
 SCENARIO_COLUMNS = [
     "delivery_days",
     "estimated_delivery_days",

@@ -9,8 +9,10 @@ from sellerscope.functions.expressions import (
     clip,
     days,
     on_time_flag,
+    rate,
     round_half_even,
     tiers,
+    whole,
 )
 from sellerscope.functions.ranks import medians
 from sellerscope.plans.views import margin_micros
@@ -62,7 +64,7 @@ def seller_stats(tables: Tables, min_orders: int = SCORED_SELLER_MIN_ORDERS) ->
             F.avg("review_score").alias("avg_review_score"),
             F.avg(on_time_flag(margin).cast("double")).alias("on_time_rate"),
             F.avg(complaint).alias("complaint_rate"),
-            days(F.avg(margin)).alias("avg_days_early"),
+            days(rate(F.sum(whole(margin)), F.count(margin))).alias("avg_days_early"),
             F.avg(canceled).alias("cancel_rate"),
         )
         .filter(F.col("n_orders") >= min_orders)

@@ -31,7 +31,7 @@ def time_key(name: str) -> Column:
 def seeded_key(frame: DataFrame, name: str, seed: int) -> Column:
     """Pseudo-random order of ids fixed by the seed."""
     if isinstance(frame.schema[name].dataType, T.IntegralType):
-        return seeded_mix(F.col(name), seed)
+        return F.coalesce(seeded_mix(F.col(name), seed), F.lit(_LAST))
     return F.xxhash64(F.lit(seed), F.col(name))
 
 
@@ -78,8 +78,13 @@ def stratified_split(
 
 
 def seeded_sample(frame: DataFrame, row_id: str, size: int, seed: int = RANDOM_SEED) -> DataFrame:
-    """A fixed number of rows in seeded order; every task keeps its best ``size`` rows only."""
-    return frame.orderBy(seeded_key(frame, row_id, seed), row_id).limit(size)
+    """A fixed number of rows in seeded order.
+
+    The last wanted key is found by counting, so the sample is a filter on the keys; only the chosen rows, and
+    rows that repeat the last one, are sorted to cut off such repeats. ``frame`` is read several times.
+    """
+    keys = [seeded_key(frame, row_id, seed), id_key(frame, row_id)]
+    return frame.filter(sorts_before(frame, keys, size)).orderBy(*keys).limit(size)
 
 
 def class_weights(frame: DataFrame, label: str = "is_negative") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sellerscope.functions.expressions import bind, clip, round_half_even
+from sellerscope.functions.expressions import bind, round_half_even
 from sellerscope.operators.metrics import binary_metrics, evaluate
 from sellerscope.operators.splits import seeded_sample, stratified_split, with_balanced_weight
 from sellerscope.session import stage
@@ -74,7 +74,9 @@ def lexicon_scores(
         length = F.size(tokens)
         return F.when(length > 0, total / F.sqrt(length.cast("double"))).otherwise(F.lit(0.0))
 
-    return frame.withColumn("lexicon_score", clip(bind(words(F.col(text)), score), -1.0, 1.0))
+    # Never missing, so limited without naming it twice: the text is scored once.
+    found = bind(words(F.col(text)), score)
+    return frame.withColumn("lexicon_score", F.least(F.greatest(found, F.lit(-1.0)), F.lit(1.0)))
 
 
 def lexicon_labels(frame: DataFrame, text: str = "text", margin: float = POLARITY_MARGIN) -> DataFrame:

@@ -70,8 +70,16 @@ def test_left_join_many_equals_a_left_join(spark):
         F.col("id").alias("b"),
     )
     expected = left.join(right, "key", "left")
-    found = joins.left_join_many(left, right, "key").select(*expected.columns)
-    assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+    for skewed in (False, True):
+        found = joins.left_join_many(left, right, "key", skewed).select(*expected.columns)
+        assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+
+
+def test_sums_beyond_doubles_are_exact(spark):
+    rows = spark.range(40_000).select((F.col("id") * 7 + 2**50 + 1).alias("x"))
+    total = F.sum(X.whole(F.col("x")))
+    found = {rows.repartition(n, "x").agg(total).first()[0] for n in (1, 3, 16)}
+    assert found == {sum(i * 7 + 2**50 + 1 for i in range(40_000))}
 
 
 def test_median_of_even_count(spark):
