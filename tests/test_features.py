@@ -2,7 +2,7 @@ import math
 from decimal import Decimal
 
 import pytest
-from conftest import item, order, review, rows
+from helpers import item, order, review, rows
 from pyspark.sql import functions as F
 
 from sellerscope.operators import features

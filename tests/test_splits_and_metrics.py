@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import PURCHASE, rows
+from helpers import PURCHASE, rows
 from pyspark.sql import functions as F
 
 from sellerscope.operators import metrics, splits

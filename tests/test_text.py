@@ -2,7 +2,7 @@ import math
 from collections import Counter
 
 import pytest
-from conftest import review, rows
+from helpers import review, rows
 from pyspark.sql import functions as F
 
 from sellerscope.operators import text
