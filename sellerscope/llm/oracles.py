@@ -99,6 +99,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rated
 """
 
+SUBSTRING_DEDUP = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), placed AS (
+    SELECT row_id, doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM texts
+), windows AS (
+    SELECT row_id, doc_id, i, word, count(*) OVER w AS n, string_agg(word, ' ') OVER w AS shown
+    FROM placed
+    WINDOW w AS (PARTITION BY row_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), first_ids AS (
+    SELECT shown, min(doc_id) AS least FROM windows WHERE n = 13 GROUP BY shown
+), hits AS (
+    SELECT row_id, doc_id, i, word, n = 13 AND coalesce(least < windows.doc_id, FALSE) AS hit
+    FROM windows LEFT JOIN first_ids USING (shown)
+), covered AS (
+    SELECT row_id, i, word, bool_or(hit) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+    FROM hits
+), cut AS (
+    SELECT row_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+           string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+    FROM covered GROUP BY row_id
+)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN cut USING (row_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op4_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY_RULES}
+    return {"op4_decontamination": DECONTAMINATION, "op6_quality_rules": QUALITY_RULES, "op13_substring_dedup": SUBSTRING_DEDUP}

@@ -9,7 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sellerscope.llm import decontamination, html_text, near_duplicates, oracles, packing, quality_rules, repeated_text, secret_scan, token_counts, token_files, url_filters
+from sellerscope.llm import (
+    alignment,
+    decontamination,
+    html_text,
+    near_duplicates,
+    oracles,
+    packing,
+    quality_rules,
+    repeated_text,
+    repeated_windows,
+    secret_scan,
+    token_counts,
+    token_files,
+    url_filters,
+    whitening,
+)
 from sellerscope.session import stage, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +107,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stage(pieces, "token-pieces"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), stage)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.align(_table(spark, sf_dir, "documents"), *vocabularies, stage)
+    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_windows.remove_repeated_windows(_table(spark, sf_dir, "documents"), stage)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_token_counts,
@@ -104,6 +134,9 @@ def queries() -> dict[str, Query]:
         op8_token_files,
         op9_near_duplicates,
         op10_best_fit_packing,
+        op11_embedding_whitening,
+        op12_tokenizer_alignment,
+        op13_substring_dedup,
     ]
     return {q.__name__: q for q in own} | {"pipeline": corpus_pipeline.run}
 
