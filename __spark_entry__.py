@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import partial, reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries  # noqa: E402
 from sellerscope.functions.expressions import clip, round_sql  # noqa: E402
-from sellerscope.operators import attribution, features, metrics, models, splits, text  # noqa: E402
+from sellerscope.operators import attribution, features, metrics, models, splits, text, tree_attribution  # noqa: E402
 from sellerscope.operators import seller_score as seller  # noqa: E402
 from sellerscope.plans import reports, views  # noqa: E402
 from sellerscope.session import ROW_KEYS, stage, staging_path  # noqa: E402
@@ -24,19 +25,29 @@ from sellerscope.settings import (  # noqa: E402
     SCORE_WEIGHTS,
 )
 from sellerscope.sources.csv_tables import load_catalog, read_csv_table, register_views  # noqa: E402
-from sellerscope.sources.artifacts import load_model, save_model, write_csv  # noqa: E402
+from sellerscope.sources.artifacts import (  # noqa: E402
+    load_model,
+    read_csv_or_empty,
+    read_or_build,
+    save_model,
+    write_csv,
+    write_parquet,
+)
 from sellerscope.sources.testdata import from_testdata, read_table, read_texts  # noqa: E402
 from sellerscope.tables import Tables  # noqa: E402
 
 try:
     from sellerscope.llm import queries as llm_queries
-except ImportError:  # the subpackage is optional
+except ImportError as error:  # the subpackage is optional, the libraries it uses are not
+    if error.name not in ("sellerscope.llm", "corpus_pipeline"):
+        raise
     llm_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Folders of the compared models, by application and tables: trained by the first query that asks for them.
-_TRAINED: dict[tuple[str, str], str] = {}
+# Folders of the compared models and of their rows, by application, tables and name: made by the first query that
+# asks for them.
+_TRAINED: dict[tuple[str, str, str], str] = {}
 
 # A fixed linear model over all features, to check attribution without training.
 LINEAR_WEIGHTS = {
@@ -153,33 +164,54 @@ def _what_if_rows(frame: DataFrame) -> DataFrame:
     return models.scenario_rows(_scenarios(frame), typical)
 
 
-def _trained(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with the train and test rows, every compared model, and the ranking."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _parts_of(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the train and test rows of the compared models."""
+    key = (spark.sparkContext.applicationId, sf_dir, "parts")
     if key not in _TRAINED:
-        path = staging_path(spark, "trained")
+        path = staging_path(spark, "model-rows")
         parts = models.timed_parts(features.order_features(from_testdata(spark, sf_dir)))
         for name in ("train", "test"):
             parts[name].drop(*ROW_KEYS).write.parquet(f"{path}/{name}")
-        found = models.compare_on(*(spark.read.parquet(f"{path}/{name}") for name in ("train", "test")))
-        for name, model in found.models.items():
-            save_model(model, f"{path}/{name}", name, FEATURE_COLUMNS, found.metrics)
         _TRAINED[key] = path
     return _TRAINED[key]
 
 
 def _part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{_trained(spark, sf_dir)}/{name}")
+    return spark.read.parquet(f"{_parts_of(spark, sf_dir)}/{name}")
+
+
+def _stored(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, str]:
+    """Folders of the named models; those not trained yet are, side by side."""
+    train, test = (_part(spark, sf_dir, name) for name in ("train", "test"))
+    keys = {name: (spark.sparkContext.applicationId, sf_dir, name) for name in names}
+
+    def train_one(name: str) -> str:
+        path = staging_path(spark, name)
+        model, row = models.fit_and_evaluate(name, models.trainers()[name], train, test)
+        save_model(model, path, name, FEATURE_COLUMNS, row)
+        _TRAINED[keys[name]] = path
+        return path
+
+    models.side_by_side({name: partial(train_one, name) for name in names if keys[name] not in _TRAINED})
+    return {name: _TRAINED[keys[name]] for name in names}
+
+
+def _model(spark: SparkSession, sf_dir: str, name: str):
+    return load_model(spark, _stored(spark, sf_dir, name)[name])[0]
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = _stored(spark, sf_dir, *models.trainers())
+    return reduce(DataFrame.unionByName, (load_model(spark, path)[3] for path in folders.values()))
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.model_ranking(load_model(spark, f"{_trained(spark, sf_dir)}/logistic")[3])
+    return metrics.model_ranking(_metrics(spark, sf_dir))
 
 
-def _winner(spark: SparkSession, sf_dir: str, kind: str = ""):
-    """The best of the stored models, or of those whose name starts with ``kind``."""
-    best = _ranking(spark, sf_dir).filter(F.col("model").startswith(kind)).first()["model"]
-    return load_model(spark, f"{_trained(spark, sf_dir)}/{best}")[0]
+def _winner(spark: SparkSession, sf_dir: str):
+    """The best of the compared models."""
+    return _model(spark, sf_dir, metrics.best_model(_metrics(spark, sf_dir)).first()["model"])
 
 
 def _winner_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,18 +224,79 @@ def _what_if_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boosted_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = _part(spark, sf_dir, "train")
-    return attribution.mean_absolute(attribution.sampled_attribution(train, _winner(spark, sf_dir, "boosted")))
+    model = _model(spark, sf_dir, "boosted_shallow")
+    attributed = tree_attribution.tree_attribution(_part(spark, sf_dir, "train"), model)
+    return tree_attribution.mean_absolute_contributions(attributed)
+
+
+def _attribution_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_attribution.additivity_violations(_part(spark, sf_dir, "test"), _model(spark, sf_dir, "boosted_shallow"))
 
 
 def _logistic_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = _winner(spark, sf_dir, "logistic")
+    model = _model(spark, sf_dir, "logistic")
     scaled = model.stages[0].transform(_part(spark, sf_dir, "train"))
     return attribution.linear_attribution(scaled, attribution.logistic_coefficients(model))
 
 
 def _model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.predictions(_winner(spark, sf_dir, "logistic"), _part(spark, sf_dir, "test"), "order_id")
+    return models.predictions(_model(spark, sf_dir, "logistic"), _part(spark, sf_dir, "test"), "order_id")
+
+
+def _violations(frame: DataFrame, *wrong: str) -> DataFrame:
+    """How many rows are wrong in one of the ways named."""
+    return frame.agg(F.count_if(F.expr(" OR ".join(f"coalesce({w}, true)" for w in wrong))).alias("n_violations"))
+
+
+def _prediction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions whose score is no probability or whose class does not follow from it."""
+    return _violations(_model_predictions(spark, sf_dir), "score NOT BETWEEN 0 AND 1", "(score >= 0.5) <> (prediction = 1)")
+
+
+def _restored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows that a model scores otherwise once it has been saved and loaded again."""
+    model, test = _model(spark, sf_dir, "logistic"), _part(spark, sf_dir, "test")
+    path = staging_path(spark, "saved-again")
+    save_model(model, path, "logistic", FEATURE_COLUMNS, load_model(spark, _stored(spark, sf_dir, "logistic")["logistic"])[3])
+    scored = model.transform(test).withColumnRenamed("probability", "before").drop("scaled", "features", "rawPrediction", "prediction")
+    again = load_model(spark, path)[0].transform(scored.drop(*[c for c in scored.columns if c.startswith("scaled_")]))
+    return _violations(again.select(F.col("before").cast("string").alias("a"), F.col("probability").cast("string").alias("b")), "a <> b")
+
+
+def _ranking_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of the comparison out of place, missing, or with a figure that is no share."""
+    listed = F.collect_list(F.struct("model", "roc_auc", "pr_auc", "f1", "accuracy")).alias("m")
+    table = _ranking(spark, sf_dir).groupBy().agg(listed)  # a row for each model
+    shares = "exists(m, x -> x.roc_auc NOT BETWEEN 0.5 AND 1 OR x.pr_auc NOT BETWEEN 0 AND 1 OR x.f1 NOT BETWEEN 0 AND 1 OR x.accuracy NOT BETWEEN 0 AND 1)"
+    sorted_ = "array_sort(m, (x, y) -> CASE WHEN x.roc_auc > y.roc_auc THEN -1 WHEN x.roc_auc < y.roc_auc THEN 1 WHEN x.model < y.model THEN -1 ELSE 1 END) <> m"
+    return _violations(table, shares, sorted_, f"size(m) <> {len(models.trainers())}")
+
+
+def _what_if_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios whose risk is no probability."""
+    return _violations(_what_if_risk(spark, sf_dir), "score NOT BETWEEN 0 AND 1")
+
+
+def _stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix through its parquet sink; the second time it is read, not built."""
+    path = f"{staging_path(spark, 'stored')}/order_features.parquet"
+    build = lambda: features.order_features(from_testdata(spark, sf_dir))
+    write_parquet(read_or_build(spark, path, build), path)
+    return _rounded(read_or_build(spark, path, lambda: spark.range(0)), 9, _HISTORY)
+
+
+def _stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report through its CSV sink and scan."""
+    report = reports.run_report(from_testdata(spark, sf_dir), "state_performance")
+    path = f"{staging_path(spark, 'stored')}/state_performance.csv"
+    write_csv(report, path)
+    return read_csv_or_empty(spark, path, report.schema)
+
+
+def _report_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every report, and how many of them a preview shows."""
+    found = [(name, n, top.count()) for name, n, top in reports.preview_reports(from_testdata(spark, sf_dir))]
+    return spark.createDataFrame(found, "report string, n_rows bigint, n_shown bigint")
 
 
 def _test_labels(t: Tables) -> DataFrame:
@@ -341,6 +434,14 @@ def queries() -> dict[str, Query]:
         "what_if_risk": _what_if_risk,
         "boosted_attribution": _boosted_attribution,
         "logistic_attribution": _logistic_attribution,
+        "attribution_additivity": _attribution_additivity,
+        "prediction_rules": _prediction_rules,
+        "restored_scores": _restored_scores,
+        "ranking_rules": _ranking_rules,
+        "what_if_rules": _what_if_rules,
+        "stored_features": _stored_features,
+        "stored_report": _stored_report,
+        "report_previews": _report_previews,
         "orders_by_status": _orders_by_status,
         "csv_scan": _csv_scan,
         "catalog_load": _catalog,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial, reduce
 from itertools import islice
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -23,6 +27,8 @@ from sellerscope.operators.splits import oversample, time_split, with_balanced_w
 from sellerscope.session import ROW_KEYS, stage, stage_with_row_keys
 from sellerscope.settings import FEATURE_COLUMNS, RANDOM_SEED
 
+T = TypeVar("T")
+
 LABEL = "is_negative"
 
 # Training parameters of the compared models.
@@ -142,6 +148,29 @@ def timed_parts(
     return {name: split.filter(F.col("split") == name).drop("split") for name in names}
 
 
+def trainers(
+    shallow_trees: int = SHALLOW_TREES, deep_trees: int = DEEP_TREES, seed: int = RANDOM_SEED
+) -> dict[str, Callable[[DataFrame], PipelineModel]]:
+    """The compared models by name, and how each is trained."""
+    return {
+        "logistic": fit_logistic,
+        "boosted_shallow": lambda train: fit_boosted(train, trees=shallow_trees, seed=seed),
+        "boosted_deep": lambda train: fit_boosted(
+            train, trees=deep_trees, depth=DEEP_DEPTH, weighting="balanced", seed=seed
+        ),
+    }
+
+
+def side_by_side(work: dict[str, Callable[[], T]]) -> dict[str, T]:
+    """Results of independent pieces of driver work, run at the same time.
+
+    Training is a long row of short jobs; rows of different models fill each other's gaps on the cluster.
+    """
+    with ThreadPoolExecutor(max(len(work), 1)) as pool:
+        running = {name: pool.submit(inheritable_thread_target(piece)) for name, piece in work.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 def compare_models(
     features: DataFrame,
     shallow_trees: int = SHALLOW_TREES,
@@ -153,6 +182,14 @@ def compare_models(
     return compare_on(parts["train"].drop(*ROW_KEYS), parts["test"].drop(*ROW_KEYS), shallow_trees, deep_trees, seed)
 
 
+def fit_and_evaluate(
+    name: str, fit: Callable[[DataFrame], PipelineModel], train: DataFrame, test: DataFrame
+) -> tuple[PipelineModel, DataFrame]:
+    """A model trained on ``train`` and its stored row of metrics on ``test``."""
+    model = fit(train)
+    return model, stage(evaluate(scored_labels(model, test), name), "metrics")
+
+
 def compare_on(
     train: DataFrame,
     test: DataFrame,
@@ -161,18 +198,10 @@ def compare_on(
     seed: int = RANDOM_SEED,
 ) -> Comparison:
     """Train the three models on ``train`` and rank them on ``test``; both should be stored tables."""
-    models = {
-        "logistic": fit_logistic(train),
-        "boosted_shallow": fit_boosted(train, trees=shallow_trees, seed=seed),
-        "boosted_deep": fit_boosted(
-            train, trees=deep_trees, depth=DEEP_DEPTH, weighting="balanced", seed=seed
-        ),
-    }
-    metrics = None
-    for name, model in models.items():
-        row = evaluate(scored_labels(model, test), name)
-        metrics = row if metrics is None else metrics.unionByName(row)
-    metrics = stage(metrics, "metrics")
+    known = trainers(shallow_trees, deep_trees, seed)
+    found = side_by_side({name: partial(fit_and_evaluate, name, fit, train, test) for name, fit in known.items()})
+    metrics = reduce(DataFrame.unionByName, (row for _, row in found.values()))
+    models = {name: model for name, (model, _) in found.items()}
     return Comparison(models, model_ranking(metrics), best_model(metrics).first()["model"])
 
 

@@ -22,6 +22,10 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+# Queries that train the boosted models in full take minutes; test_models and test_tree_attribution test them in small.
+TRAINED = {"attribution_additivity", "ranking_rules", "what_if_rules"}
+
+
+@pytest.mark.parametrize("name", sorted(set(SQL) - TRAINED))
 def test_same_rows(spark, connection, name):
     assert compare.differences(QUERIES[name](spark, SMALL), connection, SQL[name]) == []
