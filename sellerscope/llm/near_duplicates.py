@@ -13,10 +13,13 @@ Buckets are not expanded into pairs:
    size, so most pairs that cannot be similar go at once; the others are confirmed on the full sets, and links are
    closed to components.
 2. Buckets whose members now share a component are done. The others are compared in blocks of at most
-   ``BLOCK`` by ``BLOCK`` members; only pairs of different components whose signatures are close enough leave a
-   block, each from the first bucket it shares, and are confirmed on the full sets.
+   ``BLOCK`` by ``BLOCK`` members. Members bring their sets, or samples of longer ones, so that of the pairs of different
+   components with close signatures only those leave a block, each from the first bucket it shares, that are similar
+   (or, of longer sets, likely to be). A group of copies too unlike each other leaves none. What leaves is confirmed on the full sets.
 
-A similarity of 0.75 exceeds ``MAX_DIFFERENT`` values, or ``MAX_SKETCH_BITS`` bits of the sketch, with a probability below 1e-6.
+The pigeonhole guarantees all pairs that differ in up to ``2 * CHUNKS - 1`` = 31 values. Pairs that differ in up to ``MAX_DIFFERENT`` are
+kept where they meet; a similarity of 0.75 shares no bucket with a probability of 1e-7, and exceeds ``MAX_DIFFERENT`` values, or
+``MAX_SKETCH_BITS`` bits of the sketch, with a probability below 1e-6.
 
 Components are found by alternating large-star and small-star steps on stored edges. A node of many links, or a bucket of
 many members, is met by joins that adaptive execution splits, never gathered in one place.
@@ -31,11 +34,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SHINGLE = 5
 PERCENT = 75
@@ -48,6 +51,8 @@ SKETCH_BITS = (58, 64)
 MAX_SKETCH_BITS = 38
 BEST_PIVOTS = 8
 BLOCK = 512
+SAMPLE = 256  # hashes of a set that go to its blocks: the whole set, if it is not longer
+DEVIATIONS = 5.2
 _SLOT_BITS = 7  # lowest bits of a bucket: which chunk and value it leaves out
 _SIZE_BITS = 6  # lowest bits of a sketch: the class of the set's size
 _SIZE_BASE = 1.34  # above 4/3, so similar sets are in the same or in neighbouring classes
@@ -181,23 +186,98 @@ def _first_slot(other: np.ndarray) -> np.ndarray:
     return ((errors == 0) | ((errors == 1) & parts)).reshape(-1, VALUES).argmax(axis=1)
 
 
-def _compared(group: pd.DataFrame) -> pd.DataFrame:
-    """Close pairs of different components between the left and the right members of one block."""
-    left, right = group[group.side == 0], group[group.side == 1]
-    a, b = (np.frombuffer(b"".join(s.signature), np.uint16).reshape(-1, VALUES) for s in (left, right))
-    slot = int(group.bucket.iat[0]) & ((1 << _SLOT_BITS) - 1)
-    size_a, size_b = left.n_shingles.to_numpy(), right.n_shingles.to_numpy()
-    comp_b, node_b = right.component.to_numpy(), right.node.to_numpy()
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, digest, sample): the high halves of the smallest hashes of a set, all of a set of up to ``SAMPLE``."""
+    known = _Words()
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+        sets = [shingle_set(t, known) for t in batch.column(1).to_pylist()]
+        digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        sample = [(s[:SAMPLE] >> np.uint64(32)).astype("<u4").tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sample, pa.binary())], ["node", "digest", "sample"])
+
+
+class _Samples:
+    """Samples of the sets of some members, and which members can be similar to a set.
+
+    Two whole sets are compared exactly, but for halves of hashes that agree by chance, for which one is allowed. Of
+    longer sets the part below the smaller of the two samples' ends is compared; a similarity of 0.75 falls ``DEVIATIONS``
+    standard deviations short there with a probability below 1e-6.
+    """
+
+    def __init__(self, bodies: list[bytes], sizes: np.ndarray):
+        self.of = [np.frombuffer(b, "<u4") for b in bodies]
+        self.sizes = sizes
+        self.whole = sizes <= SAMPLE
+        self.ends = np.array([np.iinfo(np.uint32).max if w else s[-1] for s, w in zip(self.of, self.whole)], np.uint32)
+
+    def similar(self, mine: int, other: _Samples, at: np.ndarray) -> np.ndarray:
+        """Which of the members ``at`` of ``other`` may be similar to the member ``mine``."""
+        a = self.of[mine]
+        flat = np.concatenate([other.of[i] for i in at.tolist()])
+        lengths = np.array([len(other.of[i]) for i in at.tolist()])
+        end = np.minimum(other.ends[at], self.ends[mine])
+        below = flat <= np.repeat(end, lengths)
+        place = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+        first = np.cumsum(lengths) - lengths
+        shared = np.add.reduceat((a[place] == flat) & below, first, dtype=np.int64)
+        union = np.searchsorted(a, end, "right") + np.add.reduceat(below, first, dtype=np.int64) - shared
+        exact = 100 * (shared + 1) >= PERCENT * (self.sizes[mine] + other.sizes[at] - shared - 1)
+        share = PERCENT / 100
+        likely = shared >= share * union - DEVIATIONS * np.sqrt(share * (1 - share) * union)
+        return np.where(self.whole[mine] & other.whole[at], exact, likely)
+
+
+def _close_pairs(group: pa.Table) -> list[tuple]:
+    """Pairs of different components, left against right members of one block, that can be similar."""
+    side = group["side"].to_numpy()
+    slot = group["bucket"][0].as_py() & ((1 << _SLOT_BITS) - 1)
+    members = []
+    for k in (0, 1):
+        rows = group.filter(pa.array(side == k))
+        if not rows.num_rows:
+            return []
+        signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, VALUES)
+        sizes = rows["n_shingles"].to_numpy()
+        node, component = (np.array(rows[c].to_pylist()) for c in ("node", "component"))
+        members.append((signature, sizes, node, component, _Samples(rows["sample"].to_pylist(), sizes)))
+    (a, size_a, node_a, comp_a, samples_a), (b, size_b, node_b, comp_b, samples_b) = members
     out = []
     for i in range(len(a)):
-        near = (comp_b != left.component.iat[i]) & (node_b != left.node.iat[i])
+        near = (comp_b != comp_a[i]) & (node_b != node_a[i])
         near &= 100 * np.minimum(size_b, size_a[i]) >= PERCENT * np.maximum(size_b, size_a[i])
         at = np.flatnonzero(near)
         other = b[at] != a[i]
         at = at[(other.sum(axis=1) <= MAX_DIFFERENT) & (_first_slot(other) == slot)]
-        node = left.node.iat[i]
-        out += [(min(node, x), max(node, x)) for x in node_b[at].tolist()]
-    return pd.DataFrame(out, columns=["a", "b"])
+        if len(at):
+            at = at[samples_a.similar(i, samples_b, at)]
+            node = node_a[i].item()
+            out += [(min(node, x), max(node, x)) for x in node_b[at].tolist()]
+    return out
+
+
+def _compared(kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The close pairs of every block; rows come in order of block."""
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                now = tuple(key[:, x].tolist())
+                if now != last and held:
+                    yield pairs(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = now
+        if held:
+            yield pairs(held)
+
+    def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = _close_pairs(pa.Table.from_batches(held))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame, staged: Staged) -> DataFrame:
@@ -284,12 +364,12 @@ class _Join:
         texts = self.staged(texts.distinct(), "shared-texts")
         first = self._links(self._sized(pairs), texts)
         found = self.staged(components(first, self.staged), "components")
-        rest = self._links(self._rest(shared.select("bucket", "node"), found), texts)
+        rest = self._links(self._rest(shared.select("bucket", "node"), found, texts), texts)
         if rest.isEmpty():
             return found
         return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), self.staged)
 
-    def _rest(self, shared: DataFrame, found: DataFrame) -> DataFrame:
+    def _rest(self, shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
         """Close pairs of different components in the buckets that are not of one component yet."""
         placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
@@ -297,13 +377,19 @@ class _Join:
         open_ = mixed.filter("lo <> hi AND n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         rows = self.staged(placed.join(open_, "bucket"), "open-buckets")
         own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int")
-        rows = rows.withColumn("own", own).join(self.classes.select("node", "n_shingles", "signature"), "node")
+        rows = rows.withColumn("own", own).join(self.classes.select("node", "n_shingles", "digest", "signature"), "node")
+        listed = texts.join(rows.select("node").distinct(), "node").select("node", "text")
+        samples = self.staged(listed.mapInArrow(_sampled, f"node {self.kind}, digest binary, sample binary"), "set-samples")
+        rows = rows.join(samples, ["node", "digest"])
         others = F.sequence(F.lit(0), F.col("blocks") - 1)
         left = F.transform(F.filter(others, lambda j: j >= F.col("own")), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
         right = F.transform(F.filter(others, lambda i: i <= F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
-        dealt = rows.select("bucket", "node", "component", "n_shingles", "signature", F.explode(F.concat(left, right)).alias("x")).select("*", "x.*").drop("x")
-        pairs = dealt.groupBy("bucket", "i", "j").applyInPandas(_compared, f"a {self.kind}, b {self.kind}")
-        return self.staged(pairs.distinct(), "close-pairs")
+        dealt = rows.select("bucket", "node", "component", "n_shingles", "signature", "sample", F.explode(F.concat(left, right)).alias("x")).select("*", "x.*").drop("x")
+        # work goes with the square of a block, so partitions are not to be joined by their bytes
+        tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = dealt.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        kind = to_arrow_type(dealt.schema["node"].dataType)
+        return self.staged(blocks.mapInArrow(_compared(kind), f"a {self.kind}, b {self.kind}").distinct(), "close-pairs")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,5 +416,10 @@ def first_of_each_group(docs: DataFrame, staged: Staged, id_column: str = "doc_i
     """One row of ``docs`` for each group of near duplicates, with all its columns; rows without an id stay."""
     found = near_duplicates(docs, staged, id_column, text_column)
     kept = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, docs[id_column] == kept["_kept_id"], "left_semi").dropDuplicates([id_column])
-    return named.unionByName(docs.filter(docs[id_column].isNull()))
+    named = docs.join(kept, docs[id_column] == kept["_kept_id"], "left_semi")
+    others = [c for c in docs.columns if c != id_column]
+    # of rows that share the kept id, the first by text and then by the other columns as JSON
+    order = F.struct(F.col(text_column), F.to_json(F.struct(*[c for c in others if c != text_column])))
+    first = F.min_by(F.struct(*others), order).alias("_row")
+    one = named.groupBy(id_column).agg(first).select(id_column, *[F.col("_row")[c].alias(c) for c in others])
+    return one.select(*docs.columns).unionByName(docs.filter(docs[id_column].isNull()))
