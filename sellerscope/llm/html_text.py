@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +47,7 @@ BLOCKS = frozenset(
         *["figure", "figcaption", "hr", "body", "html", "address", "details", "summary", "fieldset", "center", "head", "menu", "dialog"],
     ]
 )
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 CLOSED_BY_SELF = frozenset(["p", "li", "dt", "dd", "tr", "td", "th", "option"])
 BODIES = frozenset(["article", "main"])
 ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"])
@@ -55,6 +57,10 @@ NAMES = re.compile(
     r"disqus\w*|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|search\w*|skip|copyright|disclaimer)"
 )
 
+# Parts of a class that say something about the page, and classes of the article itself.
+STATES = frozenset(["has", "no", "not", "with", "without", "show", "hide"])
+OWN = frozenset(["article", "article-body", "article-content", "content", "main", "main-content", "entry-content", "post-content", "post-body"])
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
@@ -68,6 +74,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 TEXT, NOISE, OPEN, MAYBE = "text", "noise", "open", "maybe"
 
 
+def _names_other(value: str) -> bool:
+    """Whether a class or id names a menu, notice or the like, by one of its parts, and not the article."""
+    tokens = value.split()
+    if any(t in OWN for t in tokens):
+        return False
+    parts = [[p for p in re.split(r"[^a-z]+", t) if p] for t in tokens]
+    return any(NAMES.fullmatch(p) for ps in parts if not STATES.intersection(ps) for p in ps)
+
+
 def _unwanted(name: str, rest: str, in_body: bool) -> bool:
     """Whether an element is left out with all it holds."""
     if name in SKIPPED or (name == "header" and not in_body):
@@ -80,7 +95,7 @@ def _unwanted(name: str, rest: str, in_body: bool) -> bool:
             return True
         if attribute == "role" and value in ROLES:
             return True
-        if attribute in ("class", "id") and any(NAMES.fullmatch(t) for t in re.split(r"[^a-z]+", value) if t):
+        if attribute in ("class", "id") and _names_other(value):
             return True
     return False
 
@@ -91,6 +106,8 @@ class _Blocks:
     def __init__(self) -> None:
         self.found: list[tuple[str, int, bool, bool]] = []
         self.stack: list[tuple[str, bool]] = []
+        self.open: Counter[str] = Counter()  # names on the stack
+        self.headings = 0
         self.skipping = self.links = self.bodies = 0
         self.breaks = 0
         self._start()
@@ -102,8 +119,7 @@ class _Blocks:
     def end(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
-            heading = any(re.fullmatch("h[1-6]", n) for n, _ in self.stack)
-            self.found.append((text, min(self.linked, len(text)), self.bodies > 0, heading))
+            self.found.append((text, min(self.linked, len(text)), self.bodies > 0, self.headings > 0))
         self._start()
 
     def text(self, part: str) -> None:
@@ -117,6 +133,8 @@ class _Blocks:
 
     def _pop(self) -> None:
         name, unwanted = self.stack.pop()
+        self.open[name] -= 1
+        self.headings -= name in HEADINGS
         self.skipping -= unwanted
         self.links -= name == "a"
         self.bodies -= name in BODIES
@@ -131,17 +149,19 @@ class _Blocks:
         if name in BLOCKS:
             self.end()
         if close:
-            if any(n == name for n, _ in self.stack):
+            if self.open[name]:
                 while self.stack[-1][0] != name:
                     self._pop()
                 self._pop()
             return
-        if name in VOID or rest.rstrip().endswith("/"):
+        if name in VOID:
             return
         if name in CLOSED_BY_SELF and self.stack and self.stack[-1][0] == name:
             self._pop()
         unwanted = _unwanted(name, rest, self.bodies > 0)
         self.stack.append((name, unwanted))
+        self.open[name] += 1
+        self.headings += name in HEADINGS
         self.skipping += unwanted
         self.links += name == "a"
         self.bodies += name in BODIES

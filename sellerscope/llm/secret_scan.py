@@ -110,11 +110,19 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column, base: Column) -> Column:
-    """Candidates that count only with their complements; none overlaps a span of ``base``."""
+    """Candidates that count only with their complements; none overlaps a span of ``base``.
+
+    What stands inside an endpoint is part of it: its path is no secret that it completes.
+    """
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-    found = F.concat(spans(text, USER, "user"), spans(text, BLOB, "blob", mixed), spans(text, ENDPOINT, "endpoint"))
     free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-    return F.filter(found, free)
+
+    def beside(ends: Column) -> Column:
+        outside = lambda x: ~F.exists(ends, lambda e: (e["start"] <= x["start"]) & (x["stop"] <= e["stop"]))
+        blobs = F.filter(spans(text, BLOB, "blob", mixed), outside)
+        return F.filter(F.concat(spans(text, USER, "user"), blobs, ends), free)
+
+    return bind(spans(text, ENDPOINT, "endpoint"), beside)
 
 
 def _cells(parts: DataFrame) -> DataFrame:

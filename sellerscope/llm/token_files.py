@@ -79,25 +79,29 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and checksums of rows, numbered in the order in which the task reads them."""
+    read = 0
     for batch in batches:
         ids = batch.column(1)
         ends = ids.offsets.to_numpy()
         raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<u4")).cast("B")
         sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         columns = [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], ["doc_id", "n_tokens", "ids_crc32", "file", "place"])
+        at = pa.array(np.arange(read, read + batch.num_rows))
+        read += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:], at], ["doc_id", "n_tokens", "ids_crc32", "file", "place", "at"])
 
 
 def token_file_index(tokens: DataFrame, staged: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Start, count and checksum of every document's ids, from files as ``read_token_files`` gives them.
 
-    Files follow one another by their smallest id. Within a file ids ascend, so the files' order and
-    the sums inside them give every start. ``staged`` writes a table that is read twice.
+    Files follow one another by their smallest id. The files' order and
+    the sums over the rows before in the file, by where the row's split begins and its place in the split, give every start. ``staged`` writes a table that is read twice.
     """
     kind = tokens.schema["doc_id"].dataType.simpleString()
     placed = tokens.select("doc_id", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("place"))
     counts = staged(
-        placed.mapInArrow(_summed, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, file string, place bigint"),
+        placed.mapInArrow(_summed, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, file string, place bigint, at bigint"),
         "token-counts",
     )
     return with_starts(counts)
@@ -111,6 +115,6 @@ def with_starts(counts: DataFrame) -> DataFrame:
     files = counts.groupBy("file").agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("place", "at").rowsBetween(Window.unboundedPreceding, -1)
     inner = counts.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return inner.join(bases, "file").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")

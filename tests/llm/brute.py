@@ -27,6 +27,8 @@ def all_spans(text):
     weak = [(m.start(), 3, m.end(), "user") for m in USER.finditer(text)]
     weak += [(m.start(), 4, m.end(), "blob") for m in BLOB.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
     weak += [(m.start(), 5, m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+    ends = [w for w in weak if w[3] == "endpoint"]
+    weak = [w for w in weak if w[3] != "blob" or not any(e[0] <= w[0] and w[2] <= e[2] for e in ends)]
     weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
     parts = base + weak
 
