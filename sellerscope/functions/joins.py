@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE_FACTOR = 4  # bytes in memory for each estimated byte
-MAX_SALTS = 64  # the lookup is repeated this often at most
+MAX_HOT = 1024  # a key with a greater share than 1 / MAX_HOT of the rows is spread
+TRACKED = 1 << 16  # keys that a frequent-items sketch follows
 _UNITS = {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
 
 
@@ -30,32 +31,44 @@ def fits_broadcast(df: DataFrame) -> bool:
     return limit > 0 and SIZE_FACTOR * int(str(estimate)) <= limit
 
 
+def heavy_hitters(facts: DataFrame, key: str, partitions: int) -> Column:
+    """Map of very frequent keys to the number of tasks their rows are worth, as a scalar subquery.
+
+    A mergeable frequent-items sketch finds the keys that hold more than 1 / ``MAX_HOT`` of the rows, so there
+    are at most that many; it follows ``TRACKED`` keys, which bounds its error to well below that share. The tasks of
+    all keys together are at most twice ``partitions`` and one for each key.
+    """
+    found = facts.agg(F.expr(f"approx_top_k(`{key}`, {MAX_HOT}, {TRACKED})").alias("top"), F.count("*").alias("n"))
+    tasks = lambda x: F.ceil(2.0 * partitions * x["count"] / F.col("n")).cast("int")
+    hot = F.filter("top", lambda x: x["item"].isNotNull() & (x["count"] * MAX_HOT > F.col("n")))
+    return found.select(F.map_from_entries(F.transform(hot, lambda x: F.struct(x["item"], tasks(x))))).scalar()
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     key: str,
     how: str,
     spread_by: str,
-    salts: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to a frame with one row per ``key`` where some keys may be very frequent.
 
-    A lookup of proven small size is broadcast, so the facts do not move. Otherwise the rows of a
-    key are spread over ``salts`` tasks, by default as many as there are shuffle partitions up to
-    ``MAX_SALTS``, by a hash of ``spread_by``, and the lookup is repeated once per salt. Rows with a missing key are spread in the same way.
+    A lookup of proven small size is broadcast, so the facts do not move. Otherwise the rows of a heavy hitter
+    are spread, by a hash of ``spread_by``, over as many tasks as they are worth, and only its row of the lookup is repeated
+    for them; all other keys take part in a plain shuffle join. Rows with a missing key are spread over all tasks. The
+    facts' key column is read once more, to find the heavy hitters.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"lookup_join supports inner and left, not {how}")
     if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), key, how)
-    if salts is None:
-        partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salts = min(max(partitions, 2), MAX_SALTS)
-    salted_facts = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    )
-    salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_lookup, [key, "_salt"], how).drop("_salt")
+    partitions = max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    hot = heavy_hitters(facts, key, partitions)
+    tasks = F.coalesce(F.try_element_at(hot, F.col(key)), F.lit(1))
+    spread = F.when(F.col(key).isNull(), F.lit(partitions)).otherwise(tasks)
+    dealt_facts = facts.withColumn("_task", F.pmod(F.xxhash64(spread_by), spread).cast("int"))
+    dealt_lookup = lookup.withColumn("_task", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    return dealt_facts.join(dealt_lookup, [key, "_task"], how).drop("_task")
 
 
 def left_join_many(left: DataFrame, right: DataFrame, key: str, skewed_right: bool = False) -> DataFrame:

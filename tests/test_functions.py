@@ -54,15 +54,42 @@ def test_lookup_join_with_a_hot_key(spark, how):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert not joins.fits_broadcast(lookup)
-        salted = joins.lookup_join(facts, lookup, "key", how, "id", salts=4)
-        assert sorted(salted.select("id", "value").collect()) == expected
-        spread = salted.filter("key = 7").select(F.spark_partition_id().alias("p")).distinct().count()
-        plan = salted._jdf.queryExecution().executedPlan().toString()
-        assert "_salt" in plan and spread >= 1
+        spread = joins.lookup_join(facts, lookup, "key", how, "id")
+        assert sorted(spread.select("id", "value").collect()) == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_only_heavy_hitters_are_spread(spark):
+    """A third of the rows share a key, another third has none: no task gets much more than its share."""
+    facts = spark.range(60_000).select(
+        "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).cast("bigint").alias("key")
+    )
+    lookup = spark.range(60_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    hot = facts.sparkSession.range(1).select(joins.heavy_hitters(facts, "key", 8).alias("hot")).first()["hot"]
+    assert hot == {7: 6}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.lookup_join(facts, lookup, "key", "left", "id")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 60_000 and max(sizes) < 2.5 * sorted(sizes)[len(sizes) // 2]
+        plain = facts.join(lookup, "key", "left").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert max(r["count"] for r in plain) > 20_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_no_heavy_hitters(spark):
+    one = spark.range(1)
+    assert one.select(joins.heavy_hitters(spark.range(5000), "id", 8).alias("hot")).first()["hot"] == {}
+    assert one.select(joins.heavy_hitters(spark.range(0), "id", 8).alias("hot")).first()["hot"] == {}
+    texts = spark.range(5000).select(F.when(F.col("id") < 2500, "a").otherwise(F.col("id").cast("string")).alias("k"))
+    assert one.select(joins.heavy_hitters(texts, "k", 8).alias("hot")).first()["hot"] == {"a": 8}
+
+
 def test_left_join_many_equals_a_left_join(spark):
     left = spark.range(50).select(F.col("id").alias("key"), F.lit("x").alias("a"))
     right = spark.range(300).select(
