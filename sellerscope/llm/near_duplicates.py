@@ -312,6 +312,24 @@ def components(edges: DataFrame, staged: Staged) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(centres).distinct()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _released(staged: Staged) -> Staged:
+    """``staged`` that leaves no shuffle files behind: what it wrote outlives them, and later steps read that."""
+
+    def run(df: DataFrame, label: str) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            return staged(df, label)
+        finally:
+            conf.set(_CLEANUP, before)
+
+    return run
+
+
 def _close(sizes: tuple[str, str]) -> Column:
     a, b = map(F.col, sizes)
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
@@ -319,7 +337,7 @@ def _close(sizes: tuple[str, str]) -> Column:
 
 class _Join:
     def __init__(self, docs: DataFrame, staged: Staged):
-        self.staged = staged
+        staged = self.staged = _released(staged)
         self.kind = docs.schema["doc_id"].dataType.simpleString()
         schema = f"doc_id {self.kind}, n_shingles bigint, digest binary, signature binary"
         self.docs = docs
