@@ -433,11 +433,13 @@ def near_duplicates(docs: DataFrame, staged: Staged, id_column: str = "doc_id",
 def first_of_each_group(docs: DataFrame, staged: Staged, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, with all its columns; rows without an id stay."""
     found = near_duplicates(docs, staged, id_column, text_column)
-    kept = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, docs[id_column] == kept["_kept_id"], "left_semi")
+    by_id = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept_id"))
+    kept = by_id.agg(F.count("*").alias("_n"), F.bool_or("kept").alias("_kept")).filter("_kept").drop("_kept")
     others = [c for c in docs.columns if c != id_column]
+    named = docs.join(kept, docs[id_column] == kept["_kept_id"])
     # of rows that share the kept id, the first by text and then by the other columns as JSON
-    order = F.struct(F.col(text_column), F.to_json(F.struct(*[c for c in others if c != text_column])))
+    shared = lambda c: F.when(F.col("_n") > 1, c)
+    order = F.struct(shared(F.col(text_column)), shared(F.to_json(F.struct(*[c for c in others if c != text_column]))))
     first = F.min_by(F.struct(*others), order).alias("_row")
     one = named.groupBy(id_column).agg(first).select(id_column, *[F.col("_row")[c].alias(c) for c in others])
     return one.select(*docs.columns).unionByName(docs.filter(docs[id_column].isNull()))
