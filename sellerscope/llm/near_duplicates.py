@@ -439,7 +439,7 @@ def first_of_each_group(docs: DataFrame, staged: Staged, id_column: str = "doc_i
     named = docs.join(kept, docs[id_column] == kept["_kept_id"])
     # of rows that share the kept id, the first by text and then by the other columns as JSON
     shared = lambda c: F.when(F.col("_n") > 1, c)
-    order = F.struct(shared(F.col(text_column)), shared(F.to_json(F.struct(*[c for c in others if c != text_column]))))
+    order = F.struct(shared(F.col(text_column)), shared(F.to_json(F.struct(F.lit(0), *[c for c in others if c != text_column]))))
     first = F.min_by(F.struct(*others), order).alias("_row")
     one = named.groupBy(id_column).agg(first).select(id_column, *[F.col("_row")[c].alias(c) for c in others])
     return one.select(*docs.columns).unionByName(docs.filter(docs[id_column].isNull()))
