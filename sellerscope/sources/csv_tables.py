@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sellerscope.plans.views import order_core, seller_orders
 from sellerscope.schema import SCHEMAS
+from sellerscope.sources.quoted_lines import read_quoted_csv
 from sellerscope.tables import Tables
 
-# Free text may hold line breaks, which rules out splitting the file.
-_MULTI_LINE = {"order_reviews"}
+# Free text may hold line breaks.
+_QUOTED_BREAKS = {"order_reviews"}
 
 
 def read_csv_table(spark: SparkSession, table: str, path: str) -> DataFrame:
@@ -20,11 +21,11 @@ def read_csv_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     Declared columns get their type, a value that does not parse becomes missing, a declared column
     the file lacks is missing throughout. Undeclared columns are kept as text.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
-    if table in _MULTI_LINE:
-        reader = reader.option("multiLine", True)
     try:
-        text = reader.csv(path)
+        if table in _QUOTED_BREAKS:
+            text = read_quoted_csv(spark, path)
+        else:
+            text = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"missing source file for {table}: {path}") from error
@@ -45,25 +46,20 @@ def load_catalog(
     """Replace every table under ``target_dir`` by its CSV file and register the views.
 
     ``files`` maps table to file name (``<table>.csv`` by default). Returns the tables and a frame
-    with one row per table: name, rows and columns loaded.
+    with one row per table: name, rows and columns loaded. Rows are counted by the write itself.
     """
     loaded, summary = {}, []
     for table in SCHEMAS:
         name = (files or {}).get(table, f"{table}.csv")
         frame = read_csv_table(spark, table, f"{source_dir}/{name}")
-        frame.write.mode("overwrite").parquet(f"{target_dir}/{table}")
+        written = Observation()
+        observed = frame.observe(written, F.count(F.lit(1)).alias("n_rows"))
+        observed.write.mode("overwrite").parquet(f"{target_dir}/{table}")
         loaded[table] = spark.read.schema(frame.schema).parquet(f"{target_dir}/{table}")
-        summary.append(
-            loaded[table].agg(F.count("*").alias("n_rows")).select(
-                F.lit(table).alias("table_name"), "n_rows", F.lit(len(frame.columns)).alias("n_cols")
-            )
-        )
+        summary.append((table, written.get["n_rows"], len(frame.columns)))
     tables = Tables(**loaded)
     register_views(tables)
-    report = summary[0]
-    for part in summary[1:]:
-        report = report.unionByName(part)
-    return tables, report
+    return tables, spark.createDataFrame(summary, "table_name string, n_rows bigint, n_cols int")
 
 
 def open_catalog(spark: SparkSession, target_dir: str) -> Tables:

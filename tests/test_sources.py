@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from sellerscope import session
 from sellerscope.schema import METRICS_SCHEMA, SCHEMAS
-from sellerscope.sources import artifacts, csv_tables
+from sellerscope.sources import artifacts, csv_tables, quoted_lines
 
 
 def write(path, text):
@@ -39,9 +39,47 @@ def test_review_texts_may_hold_quotes_commas_and_line_breaks(spark, tmp_path):
     assert found[1]["review_comment_message"] is None and found[1]["review_score"] == 1
 
 
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+@pytest.mark.parametrize("split_bytes", [16, 61, 4096])
+def test_breaks_inside_quotes_across_splits(spark, tmp_path, ending, split_bytes):
+    texts = ["plain", "", 'a "quoted" word', "two\nlines", "\n", 'ends in a quote"', '"\n"\n""', "x,\ny\n\nz", "é\n" * 40, "last"]
+    folder = tmp_path / "reviews"
+    folder.mkdir()
+    for part in range(2):
+        out = ["order_id,note,review_score"]
+        for i, text in enumerate(texts * 3):
+            quoted = text.replace('"', '""')
+            out.append(f'{part}-{i},"{quoted}",{i % 5}' if i % 4 else f'{part}-{i},"{quoted}"')
+            out += [""] * (i % 3 == 0)
+        body = ending.join(line.replace("\n", ending) for line in out)
+        (folder / f"{part}.csv").write_bytes((body + ending * part).encode())
+    wanted = spark.read.options(header=True, escape='"', multiLine=True).csv(str(folder))
+    wanted = sorted(wanted.collect(), key=lambda r: r["order_id"])
+    assert len(wanted) == 60
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert split_bytes > 100 or quoted_lines._lines(spark, str(folder)).select("_file", "_start").distinct().count() > 20
+        found = quoted_lines.read_quoted_csv(spark, str(folder))
+        assert found.columns == ["order_id", "note", "review_score"]
+        assert sorted(found.collect(), key=lambda r: r["order_id"]) == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_csv_of_nothing(spark, tmp_path):
+    assert quoted_lines.read_quoted_csv(spark, write(tmp_path / "empty.csv", "")).count() == 0
+    header = quoted_lines.read_quoted_csv(spark, write(tmp_path / "header.csv", "order_id,note\n"))
+    assert header.columns == ["order_id", "note"] and header.count() == 0
+    assert csv_tables.read_csv_table(spark, "order_reviews", str(tmp_path / "empty.csv")).count() == 0
+
+
 def test_missing_file_is_named(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="nowhere.csv"):
         csv_tables.read_csv_table(spark, "orders", str(tmp_path / "nowhere.csv"))
+    with pytest.raises(FileNotFoundError, match="nowhere.csv"):
+        csv_tables.read_csv_table(spark, "order_reviews", str(tmp_path / "nowhere.csv"))
 
 
 def test_catalog_load_and_open(spark, generated, tmp_path):
