@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,7 +12,8 @@ from pyspark.sql.window import Window
 
 from sellerscope.session import stage
 
-BINS_PER_ROUND = 1024
+# A quantile sketch of a range is off by this part of its rows at most, so a step keeps about 1 / 2,000 of them.
+ACCURACY = 10_000
 # Rows of one range whose distinct values are listed in one task at most, unless they are all equal.
 MAX_LISTED_ROWS = 1_000_000
 
@@ -82,31 +84,76 @@ class _Ranges:
             slot = F.when(inside, name) if slot is None else slot.when(inside, name)
         return slot
 
-    def bins(self) -> Column:
-        """Equal-width bin of a cell inside its range."""
-        number, position = F.col("v").cast("double"), None
-        for place in range(self.width):
-            low, high = self.bounds(place)
-            step = F.floor((number - low) / (high - low) * BINS_PER_ROUND).cast("int")
-            inside = F.col("slot") == F.col("i") * self.width + place
-            position = F.when(inside, step) if position is None else position.when(inside, step)
-        return F.least(position, F.lit(BINS_PER_ROUND - 1))
+
+def _brackets(cells: DataFrame, searches: list[_Search], ranges: _Ranges) -> dict[int, list[tuple[float, float]]]:
+    """One pass: disjoint value ranges by slot that a quantile sketch finds around the wanted ranks.
+
+    Every partition makes one sketch for each slot; sketches merge, and their error is a share of the rows.
+    """
+    near = {}
+    for number, search in enumerate(searches):
+        share = (search.rank - search.below) / search.inside
+        low, high = math.floor(share * ACCURACY) - 2, math.ceil(share * ACCURACY) + 2
+        near[number] = (max(low, 0) / ACCURACY, min(high, ACCURACY) / ACCURACY)
+    shares = sorted({share for pair in near.values() for share in pair})
+    sketch = F.percentile_approx(F.col("v").cast("double"), shares, ACCURACY)
+    found = {
+        row["slot"]: dict(zip(shares, row["values"]))
+        for row in cells.withColumn("slot", ranges.slots())
+        .filter("slot IS NOT NULL")
+        .groupBy("slot")
+        .agg(sketch.alias("values"))
+        .collect()
+    }  # one row per range, a few values per wanted rank
+    brackets: dict[int, list[tuple[float, float]]] = {}
+    for number, search in enumerate(searches):
+        slot = ranges.slot_of(search)
+        brackets.setdefault(slot, []).append(tuple(found[slot][share] for share in near[number]))
+    for slot, held in brackets.items():
+        apart: list[tuple[float, float]] = []
+        for low, high in sorted(held):
+            if apart and low <= apart[-1][1]:
+                apart[-1] = (apart[-1][0], max(high, apart[-1][1]))
+            else:
+                apart.append((low, high))
+        brackets[slot] = apart
+    return brackets
+
+
+def _part(brackets: dict[int, list[tuple[float, float]]], slots: int) -> Column:
+    """Number of the part a cell lies in: before, on the ends of, inside or after the brackets of its slot."""
+    number, part = F.col("v").cast("double"), F.lit(0)
+    for place in range(max(len(held) for held in brackets.values())):
+        pairs = [
+            held[place] if place < len(held := brackets.get(slot, [])) else (None, None) for slot in range(slots)
+        ]
+        low, high = (
+            F.get(F.array(*[F.lit(pair[end]).cast("double") for pair in pairs]), F.col("slot")) for end in (0, 1)
+        )
+        for passed in (number >= low, number > low, number >= high, number > high):
+            part = part + F.when(passed, 1).otherwise(0)
+    return part
 
 
 def _narrow(cells: DataFrame, searches: list[_Search], columns: int) -> None:
-    """One pass: count equal-width bins of every open range and step into the wanted bin."""
+    """Two passes: bracket every wanted rank by a sketch, then count the parts exactly and step into the wanted one.
+
+    The ends of a bracket are values of the data and parts of their own, so every step shortens a range even where the
+    sketch is off, and a value that most rows share is found at once.
+    """
     ranges = _Ranges(searches, columns)
     number = F.col("v").cast("double")
+    brackets = _brackets(cells, searches, ranges)
     counted = (
         cells.withColumn("slot", ranges.slots())
         .filter("slot IS NOT NULL")
-        .groupBy("slot", ranges.bins().alias("bin"))
+        .groupBy("slot", _part(brackets, columns * ranges.width).alias("part"))
         .agg(F.count("*").alias("rows"), F.min(number).alias("low"), F.max(number).alias("high"))
         .collect()
-    )  # at most BINS_PER_ROUND rows per range
+    )  # at most four rows per wanted rank and one more per range
     for search in searches:
         slot, below = ranges.slot_of(search), search.below
-        for row in sorted((b for b in counted if b["slot"] == slot), key=lambda b: b["bin"]):
+        for row in sorted((b for b in counted if b["slot"] == slot), key=lambda b: b["part"]):
             if below + row["rows"] > search.rank:
                 search.low, search.high = row["low"], row["high"]
                 search.below, search.inside = below, row["rows"]
@@ -150,10 +197,11 @@ def values_at(
 ) -> list[list[Ranked]]:
     """Exact order statistics of several numeric columns (missing values left out).
 
-    ``ranks`` maps the number of non-missing rows of a column to the wanted 0-based ranks. Each
-    round counts equal-width bins of the range a rank can lie in and keeps the one bin it falls
-    into; when few rows are left their distinct values are listed. Nothing is sorted or shuffled
-    but bin counts, whatever the number of rows.
+    ``ranks`` maps the number of non-missing rows of a column to the wanted 0-based ranks. While the
+    range of a rank holds many rows, a quantile sketch brackets it and the bracket's rows are
+    counted; when few rows are left their distinct values are listed. Two passes do up to
+    ``MAX_LISTED_ROWS``, four up to about 2,000 times as many, however the values are spread.
+    Nothing is shuffled but sketches, counts and the listed values.
     """
     cells = _cells(df, columns, kind)
     number = F.col("v").cast("double")
@@ -171,7 +219,6 @@ def values_at(
                 _Search(i, rank, row["low"], row["high"], 0, row["rows"])
                 for rank in ranks(row["rows"])
             ]
-    # Every round splits an open range, as its lowest and highest value fall into different bins.
     while pending := [s for s in searches if s.open()]:
         _narrow(cells, pending, len(columns))
     result: list[list[Ranked]] = [[] for _ in columns]

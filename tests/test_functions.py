@@ -12,7 +12,7 @@ from sellerscope.functions import joins, ranks
 def narrow_rounds(monkeypatch):
     """Force the histogram rounds that large inputs go through."""
     monkeypatch.setattr(ranks, "MAX_LISTED_ROWS", 5)
-    monkeypatch.setattr(ranks, "BINS_PER_ROUND", 4)
+    monkeypatch.setattr(ranks, "ACCURACY", 20)
 
 
 def test_rounding(spark):
@@ -115,7 +115,22 @@ def test_median_of_even_count(spark):
     assert ranks.medians(frame.filter("a > 9"), ["a"]) == {"a": None}
 
 
-def test_medians_through_histogram_rounds(spark, narrow_rounds):
+def test_one_round_suffices_for_heavy_tails(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "MAX_LISTED_ROWS", 60)
+    rounds, narrow = [], ranks._narrow
+    monkeypatch.setattr(ranks, "_narrow", lambda *args: rounds.append(1) or narrow(*args))
+    columns = {
+        "powers": [10.0 ** (i / 60) * (-1) ** i for i in range(18_001)],
+        "outliers": [float(i % 9_000) for i in range(17_997)] + [1e300, -1e300, 1e200, 1e100],
+        "shared": [3.0] * 12_000 + [1e12 * i for i in range(6_001)],
+    }
+    frame = spark.createDataFrame(list(zip(*columns.values())), list(columns)).repartition(7)
+    found = ranks.medians(frame, list(columns))
+    assert found == {name: statistics.median(values) for name, values in columns.items()}
+    assert len(rounds) == 1
+
+
+def test_medians_through_sketch_rounds(spark, narrow_rounds):
     chooser = random.Random(3)
     columns = {
         "smooth": [chooser.gauss(0, 1) for _ in range(400)],
