@@ -24,7 +24,7 @@ from sellerscope.settings import (  # noqa: E402
     SCORE_GRADES,
     SCORE_WEIGHTS,
 )
-from sellerscope.sources.csv_tables import load_catalog, read_csv_table, register_views  # noqa: E402
+from sellerscope.sources.csv_tables import load_catalog, open_catalog, read_csv_table, register_views  # noqa: E402
 from sellerscope.sources.artifacts import (  # noqa: E402
     load_model,
     read_csv_or_empty,
@@ -129,15 +129,39 @@ def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_table(spark, "orders", path)
 
 
-def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _loaded(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str], Tables, DataFrame]:
+    """Folder of a catalog loaded from CSV copies of the tables, its source files, the tables and the load's report."""
     root = staging_path(spark, "catalog")
     tables = from_testdata(spark, sf_dir)
     for name, frame in tables.items():
         write_csv(frame, f"{root}/csv/{name}")
     # The generated data has no places; the nation table stands in, as it is loaded but not read.
     write_csv(read_table(spark, sf_dir, "nation"), f"{root}/csv/geolocation")
-    names = [name for name, _ in tables.items()] + ["geolocation"]
-    return load_catalog(spark, f"{root}/csv", f"{root}/tables", {n: n for n in names})[1]
+    files = {name: name for name in [name for name, _ in tables.items()] + ["geolocation"]}
+    return root, files, *load_catalog(spark, f"{root}/csv", f"{root}/tables", files)
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir)[3]
+
+
+def _catalog_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix from bucketed tables, which meet on the order without a shuffle."""
+    return _rounded(features.order_features(_loaded(spark, sf_dir)[2]), 9, _HISTORY)
+
+
+def _catalog_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns of every table as a reader finds them after a later load broke off."""
+    root, files, _, _ = _loaded(spark, sf_dir)
+    try:
+        load_catalog(spark, f"{root}/csv", f"{root}/tables", {**files, "orders": "sellers", "sellers": "absent"})
+    except FileNotFoundError:
+        pass
+    sizes = [
+        frame.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.lit(len(frame.columns)).alias("n_cols"))
+        for name, frame in open_catalog(spark, f"{root}/tables").items()
+    ]
+    return reduce(DataFrame.unionByName, sizes)
 
 
 def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,6 +469,8 @@ def queries() -> dict[str, Query]:
         "orders_by_status": _orders_by_status,
         "csv_scan": _csv_scan,
         "catalog_load": _catalog,
+        "catalog_features": _catalog_features,
+        "catalog_after_failure": _catalog_after_failure,
         "coerced_orders": _coerced,
         "tokens": _tokens,
         "document_lexicon": _document_lexicon,

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sellerscope.plans.views import order_core, seller_orders
 from sellerscope.schema import SCHEMAS
+from sellerscope.sources import snapshots
 from sellerscope.sources.quoted_lines import read_quoted_csv
 from sellerscope.tables import Tables
 
@@ -41,30 +42,41 @@ def read_csv_table(spark: SparkSession, table: str, path: str) -> DataFrame:
 
 
 def load_catalog(
-    spark: SparkSession, source_dir: str, target_dir: str, files: dict[str, str] | None = None
+    spark: SparkSession,
+    source_dir: str,
+    target_dir: str,
+    files: dict[str, str] | None = None,
+    buckets: int | None = None,
 ) -> tuple[Tables, DataFrame]:
-    """Replace every table under ``target_dir`` by its CSV file and register the views.
+    """Replace all tables of the catalog at ``target_dir`` by their CSV files, at once, and register the views.
 
-    ``files`` maps table to file name (``<table>.csv`` by default). Returns the tables and a frame
+    ``files`` maps table to file name (``<table>.csv`` by default). The tables are a new snapshot, which becomes valid
+    when all of them are written; a load that fails leaves the catalog as it was. Order, item, payment and review
+    tables are bucketed by order (``buckets`` as in ``snapshots.write_table``). Returns the tables and a frame
     with one row per table: name, rows and columns loaded. Rows are counted by the write itself.
     """
-    loaded, summary = {}, []
+    version, snapshot = snapshots.begin(spark, target_dir)
+    stored = []
     for table in SCHEMAS:
-        name = (files or {}).get(table, f"{table}.csv")
-        frame = read_csv_table(spark, table, f"{source_dir}/{name}")
-        written = Observation()
-        observed = frame.observe(written, F.count(F.lit(1)).alias("n_rows"))
-        observed.write.mode("overwrite").parquet(f"{target_dir}/{table}")
-        loaded[table] = spark.read.schema(frame.schema).parquet(f"{target_dir}/{table}")
-        summary.append((table, written.get["n_rows"], len(frame.columns)))
-    tables = Tables(**loaded)
-    register_views(tables)
-    return tables, spark.createDataFrame(summary, "table_name string, n_rows bigint, n_cols int")
+        frame = read_csv_table(spark, table, f"{source_dir}/{(files or {}).get(table, f'{table}.csv')}")
+        stored.append(snapshots.write_table(frame, target_dir, snapshot, table, buckets))
+    snapshots.commit(spark, target_dir, version, snapshot, stored)
+    summary = [(t.name, t.n_rows, t.n_cols) for t in stored]
+    return _opened(spark, target_dir, snapshot, stored), spark.createDataFrame(
+        summary, "table_name string, n_rows bigint, n_cols int"
+    )
 
 
 def open_catalog(spark: SparkSession, target_dir: str) -> Tables:
-    """Tables of an earlier ``load_catalog``, with the views registered again."""
-    tables = Tables(**{t: spark.read.parquet(f"{target_dir}/{t}") for t in SCHEMAS})
+    """Tables of the last ``load_catalog`` that ended, with the views registered again."""
+    valid = snapshots.latest(spark, target_dir)
+    if valid is None:
+        raise FileNotFoundError(f"no catalog at {target_dir}: load one first")
+    return _opened(spark, target_dir, valid["snapshot"], valid["tables"])
+
+
+def _opened(spark: SparkSession, target_dir: str, snapshot: str, stored: list) -> Tables:
+    tables = Tables(**{t.name: snapshots.open_table(spark, target_dir, snapshot, t) for t in stored})
     register_views(tables)
     return tables
 

@@ -3,11 +3,13 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sellerscope import session
+from sellerscope.operators import features
 from sellerscope.schema import METRICS_SCHEMA, SCHEMAS
-from sellerscope.sources import artifacts, csv_tables, quoted_lines
+from sellerscope.sources import artifacts, csv_tables, quoted_lines, snapshots
 
 
 def write(path, text):
@@ -98,6 +100,73 @@ def test_catalog_load_and_open(spark, generated, tmp_path):
     assert again.orders.filter("order_purchase_timestamp IS NULL").count() == 0
 
 
+def exported(generated, folder):
+    for name, frame in generated.items():
+        artifacts.write_csv(frame, str(folder / name))
+    write(folder / "geolocation", "zip,lat\n1,2\n")
+    return str(folder), {name: name for name in SCHEMAS}
+
+
+def exchanges(frame):
+    """Shuffles of the plan, as the text of their partitioning."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, generated, tmp_path):
+    source, files = exported(generated, tmp_path / "csv")
+    tables, _ = csv_tables.load_catalog(spark, source, str(tmp_path / "db"), files)
+    inputs = features.order_inputs(tables)
+    assert exchanges(features.order_inputs(generated)) and not [x for x in exchanges(inputs) if "(order_id" in x]
+    plain, _ = csv_tables.load_catalog(spark, source, str(tmp_path / "plain"), files, buckets=0)
+    assert [x for x in exchanges(features.order_inputs(plain)) if "(order_id" in x]
+    digits = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in inputs.dtypes]
+    found, wanted = inputs.select(*digits), features.order_inputs(plain).select(*digits)
+    assert found.count() > 500 and found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()
+    # a session that has no entry of the tables yet finds the layout in the commit record
+    valid = snapshots.latest(spark, str(tmp_path / "db"))
+    name = snapshots._registered(valid["snapshot"], "order_items")
+    spark.sql(f"DROP TABLE {name}")
+    again = csv_tables.open_catalog(spark, str(tmp_path / "db"))
+    assert again.order_items.schema == tables.order_items.schema
+    assert not [x for x in exchanges(features.order_inputs(again)) if "(order_id" in x]
+
+
+def test_a_load_that_fails_leaves_the_catalog_as_it_was(spark, generated, tmp_path):
+    source, files = exported(generated, tmp_path / "csv")
+    target = str(tmp_path / "it's a db")
+    with pytest.raises(FileNotFoundError, match="no catalog"):
+        csv_tables.open_catalog(spark, target)
+    before, _ = csv_tables.load_catalog(spark, source, target, files)
+    n_items = before.order_items.count()
+    write(tmp_path / "few.csv", "order_id,price\no1,2.50\n")
+    with pytest.raises(FileNotFoundError, match="nowhere"):
+        csv_tables.load_catalog(spark, source, target, {**files, "order_items": "../few.csv", "sellers": "nowhere"})
+    assert csv_tables.open_catalog(spark, target).order_items.count() == n_items
+    csv_tables.load_catalog(spark, source, target, {**files, "order_items": "../few.csv"})
+    assert csv_tables.open_catalog(spark, target).order_items.count() == 1
+    assert before.order_items.count() == n_items  # a reader of the former snapshot keeps it
+
+
+def test_a_table_with_a_hot_order_is_not_bucketed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "MAX_KEY_ROWS", 50)
+    hot = F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string"))
+    for name, key, buckets in [("hot", hot, 0), ("even", F.col("id").cast("string"), 4), ("none", F.lit(None).cast("string"), 0)]:
+        frame = spark.range(1000).select(key.alias("order_id"), F.col("id").alias("n`1"))
+        stored = snapshots.write_table(frame, str(tmp_path), f"1-{name}", "order_items", buckets=4)
+        assert (stored.buckets, stored.n_rows) == (buckets, 1000)
+        opened = snapshots.open_table(spark, str(tmp_path), f"1-{name}", stored)
+        assert opened.agg(F.sum("`n``1`")).first()[0] == 499500
+        assert bool(exchanges(opened.groupBy("order_id").count())) == (buckets == 0)
+
+
+def test_bucketed_tables_of_nothing(spark, tmp_path):
+    header = csv_tables.read_csv_table(spark, "order_items", write(tmp_path / "items.csv", "order_id,price\n"))
+    for name, empty in [("local", spark.createDataFrame([], SCHEMAS["order_items"])), ("header", header)]:
+        stored = snapshots.write_table(empty, str(tmp_path), f"1-{name}", "order_items")
+        assert stored.n_rows == 0 and snapshots.open_table(spark, str(tmp_path), f"1-{name}", stored).count() == 0
+
+
 def test_parquet_artifact_is_built_only_when_absent(spark, tmp_path):
     path, built = str(tmp_path / "art"), []
 
