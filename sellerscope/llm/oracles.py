@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import string
 
-from sellerscope.llm import quality_rules as q
-
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 DECONTAMINATION = rf"""
@@ -43,9 +41,8 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
 FROM doc_words d LEFT JOIN hit_words USING (row_id) LEFT JOIN hit_items USING (row_id)
 """
 
-_CUTOFF_LIST = "[" + ", ".join(map(str, q.CUTOFFS)) + "]"
-_RULE_ROWS = " UNION ALL ".join(f"SELECT row_id, doc_id, lang, '{r}' AS rule, {r} AS rate FROM rated" for r in q.RULES)
-_SHARE = q.MAX_FALSE_REJECTION / len(q.RULES)
+_RATES = ["symbol_rate", "shout_rate", "dup_line_rate", "repeat_rate"]
+_RULE_ROWS = " UNION ALL ".join(f"SELECT row_id, doc_id, lang, '{r}' AS rule, {r} AS rate FROM rated" for r in _RATES)
 
 QUALITY_RULES = rf"""
 WITH split AS (
@@ -73,23 +70,27 @@ WITH split AS (
            n_shouts::DOUBLE / greatest(word_chars, 1) AS shout_rate,
            n_dup_lines::DOUBLE / greatest(n_lines, 1) AS dup_line_rate,
            n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_rate,
-           n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed
+           n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
     FROM counted
 ), by_rule AS ({_RULE_ROWS}
 ), good AS (
     SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
 ), tests AS (
-    SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (rate > cutoff) AS k
-    FROM by_rule SEMI JOIN good USING (doc_id), (SELECT unnest({_CUTOFF_LIST})::DOUBLE AS cutoff)
+    SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (rate > cutoff) AS k,
+           CASE rule WHEN 'repeat_rate' THEN 0.008::DOUBLE WHEN 'dup_line_rate' THEN 0.006::DOUBLE ELSE 0.003::DOUBLE END AS share
+    FROM by_rule SEMI JOIN good USING (doc_id),
+         (SELECT unnest([0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5])::DOUBLE AS cutoff)
     GROUP BY ALL
 ), tails AS (
-    SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(
-               lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE})))) AS p
-    FROM tests WHERE k < n * {_SHARE}
+    SELECT *, CASE WHEN k >= n * share THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
+               lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(share) + (n - i) * ln(1 - share)))) END AS p
+    FROM tests
+), steps AS (
+    SELECT *, bool_and(p * (SELECT count(*) FROM (SELECT DISTINCT lang FROM tests)) * 4 <= 0.05::DOUBLE)
+        OVER (PARTITION BY lang, rule ORDER BY cutoff DESC ROWS UNBOUNDED PRECEDING) AS passed
+    FROM tails
 ), cutoffs AS (
-    SELECT lang, rule, min(cutoff) AS cutoff FROM tails
-    WHERE p * (SELECT count(*) FROM (SELECT DISTINCT lang FROM tests)) * {len(q.RULES) * len(q.CUTOFFS)} <= {q.DELTA}
-    GROUP BY ALL
+    SELECT lang, rule, min(cutoff) AS cutoff FROM steps WHERE passed GROUP BY ALL
 ), over AS (
     SELECT DISTINCT row_id FROM by_rule b JOIN cutoffs c ON b.lang IS NOT DISTINCT FROM c.lang AND b.rule = c.rule
     WHERE b.rate > c.cutoff

@@ -119,6 +119,34 @@ def test_cutoffs_follow_the_labels(spark, documents, staged):
     assert kept == set(range(2500)) | set(range(5000, 5010))
 
 
+def test_cutoffs_are_tested_from_lax_to_strict(spark):
+    def tail(k, n, p):
+        return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+    rng = random.Random(66)
+    shares = {"symbol_rate": 0.003, "shout_rate": 0.003, "dup_line_rate": 0.006, "repeat_rate": 0.008}
+    sizes = {"a": 640, "b": 900, "c": 2500, "d": 40_000, None: 12}
+    counts, wanted = [], {}
+    for stratum, n in sizes.items():
+        for rule, share in shares.items():
+            rejected = sorted(rng.randrange(int(n * share * 1.5) + 1) for _ in range(11)) if stratum in ("c", "d") else [0] * 11
+            rejected = [0, *rejected][: len(quality_rules.CUTOFFS)]
+            chosen = None
+            for cutoff, k in zip(reversed(quality_rules.CUTOFFS), rejected):
+                counts.append((stratum, rule, n, cutoff, k))
+            for cutoff, k in zip(reversed(quality_rules.CUTOFFS), rejected):
+                if k >= n * share or tail(k, n, share) * len(sizes) * 4 > 0.05:
+                    break
+                chosen = cutoff
+            wanted[stratum, rule] = chosen
+    frame = spark.createDataFrame(counts, "stratum string, rule string, n long, cutoff double, k long").coalesce(2)
+    found = {(r.stratum, rule): r[f"max_{rule}"] for r in quality_rules.safe_cutoffs(frame).collect() for rule in shares}
+    assert found == wanted
+    # 900 labels are enough for the widest share only, 12 for none; the strictest of nested cutoffs is used
+    assert wanted["b", "repeat_rate"] == 0.002 and wanted["b", "symbol_rate"] is None and wanted[None, "repeat_rate"] is None
+    assert {wanted["d", r] for r in shares} - {0.002, None}
+
+
 def test_quality_of_nothing(spark, documents, staged):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     docs = documents([])
