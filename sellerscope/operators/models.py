@@ -26,6 +26,7 @@ from sellerscope.operators.metrics import best_model, evaluate, model_ranking, r
 from sellerscope.operators.splits import oversample, time_split, with_balanced_weight
 from sellerscope.session import ROW_KEYS, stage, stage_with_row_keys
 from sellerscope.settings import FEATURE_COLUMNS, RANDOM_SEED
+from sellerscope.sources.artifacts import stage_model
 
 T = TypeVar("T")
 
@@ -89,7 +90,8 @@ def fit_logistic(
         regParam=1.0 / (c * train.count()),
         maxIter=max_iter,
     )
-    return Pipeline(stages=[*scaling_stages(train, columns), classifier]).fit(weighted)
+    fitted = Pipeline(stages=[*scaling_stages(train, columns), classifier]).fit(weighted)
+    return stage_model(train.sparkSession, fitted, "logistic-model")
 
 
 def fit_boosted(

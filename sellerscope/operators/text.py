@@ -24,6 +24,7 @@ from sellerscope.settings import (
     RANDOM_SEED,
     WORD_PATTERN,
 )
+from sellerscope.sources.artifacts import stage_model
 from sellerscope.tables import Tables
 
 # A term is a run of two or more letters, digits or underscores.
@@ -235,13 +236,14 @@ def train_text_classifier(
     )
     train = with_balanced_weight(vectors.filter("split = 'train'"), "label")
     n_train = vectors.filter("split = 'train'").count()
-    model = LogisticRegression(
+    fitted = LogisticRegression(
         weightCol="weight",
         standardization=False,
         regParam=1.0 / (c * n_train),
         maxIter=max_iter,
         tol=1e-6,
     ).fit(train)
+    model = stage_model(rows.sparkSession, fitted, "text-model")
     scored = stage(
         model.transform(vectors.filter("split = 'test'")).select(
             F.col("label").cast("int").alias("label"),

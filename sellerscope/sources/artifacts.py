@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sellerscope.session import staging_path
+
 
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -49,6 +51,16 @@ def read_csv_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> D
     return stored
 
 
+def stage_model(spark: SparkSession, model: Model, label: str) -> Model:
+    """Write a fitted model to the staging folder and read it back, without the summary of its training.
+
+    A logistic model's summary holds the session, which tasks cannot be sent once the session has observed a figure.
+    """
+    path = staging_path(spark, label)
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def save_model(
     model: PipelineModel, path: str, name: str, features: Sequence[str], metrics: DataFrame
 ) -> None:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sellerscope.operators import attribution, features, models
@@ -38,6 +39,14 @@ def test_saved_model_gives_the_same_scores(spark, matrix, comparison, tmp_path):
         artifacts.load_model(spark, str(tmp_path / "none"))
 
 
+def test_logistic_scores_once_the_session_has_observed_a_figure(spark, matrix):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    model = models.fit_logistic(matrix, max_iter=2)
+    assert models.scored_labels(model, matrix).count() == matrix.count()
+
+
 def test_predictions_follow_the_threshold(matrix, comparison):
     found = models.predictions(comparison.models["boosted_shallow"], matrix, "order_id")
     assert found.filter((F.col("score") >= 0.5) != (F.col("prediction") == 1)).count() == 0

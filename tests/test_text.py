@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from helpers import review, rows
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sellerscope.operators import text
@@ -97,3 +98,10 @@ def test_classifier_learns_and_names_its_terms(spark):
         frame.limit(1).withColumn("text", F.lit("zz")), "id", "text", vocabulary, vocabulary.count()
     )
     assert empty.first()["features"].numNonzeros() == 0
+
+
+def test_classifier_learns_once_the_session_has_observed_a_figure(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    test_classifier_learns_and_names_its_terms(spark)
