@@ -173,23 +173,28 @@ def tfidf(
 ) -> DataFrame:
     """One row per (row, vocabulary term): sublinear term weight, smoothed idf, unit length.
 
-    Only vocabulary terms reach the shuffle: the vocabulary has at most ``max_terms`` rows, so it
-    is broadcast to the exploded terms. A row keeps at most that many terms for its norm.
+    Only the places of vocabulary terms are shuffled, once: the vocabulary has at most ``max_terms`` rows, so it is
+    broadcast to the exploded terms, and its words are put back behind the shuffle. Rows stay where their id is dealt
+    for the counts and the norm. A row keeps at most ``max_terms`` terms for its norm.
     """
     if vocabulary is None:
         vocabulary = stage(tfidf_vocabulary(frame, text, min_df, max_terms), "vocabulary")
     rows = frame.select(F.count("*")).scalar()
     idf = F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1.0
-    weighted_terms = vocabulary.select("term", "term_index", idf.alias("idf"))
-    counted = (
+    names, weights = vocabulary.select("term_index", "term"), vocabulary.select("term_index", idf.alias("idf"))
+    places = (
         frame.select(row_id, F.explode_outer(_terms(text)).alias("term"))
-        .join(F.broadcast(weighted_terms), "term")
-        .groupBy(row_id, "term", "term_index", "idf")
-        .agg(F.count("*").alias("tf"))
+        .join(F.broadcast(names), "term")
+        .select(row_id, "term_index")
+    )
+    # Dealt by the id alone, which is enough for the grouping and the window behind it.
+    counted = places.repartition(row_id).groupBy(row_id, "term_index").agg(F.count("*").alias("tf"))
+    raw = counted.join(F.broadcast(weights), "term_index").withColumn(
+        "raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
     )
-    raw = counted.withColumn("raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(row_id)))
-    return raw.select(row_id, "term", "term_index", "tf", (F.col("raw") / length).alias("tfidf"))
+    scaled = raw.select(row_id, "term_index", "tf", (F.col("raw") / length).alias("tfidf"))
+    return scaled.join(F.broadcast(names), "term_index").select(row_id, "term", "term_index", "tf", "tfidf")
 
 
 @F.udf(VectorUDT())

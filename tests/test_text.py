@@ -7,6 +7,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sellerscope.operators import text
+from sellerscope.session import stage
 
 
 def labelled(spark, *texts):
@@ -76,6 +77,17 @@ def test_tfidf_against_the_formula(spark):
     assert all(kept[r["term_index"]] == r["term"] for r in found)
 
 
+def test_tfidf_moves_no_words(spark):
+    frame = spark.createDataFrame([(1, "aa bb"), (2, "aa cc"), (1, "bb bb"), (None, "aa")], "id bigint, text string")
+    vocabulary = stage(text.tfidf_vocabulary(frame, min_df=1), "vocabulary")
+    found = text.tfidf(frame, "id", vocabulary=vocabulary)
+    shuffles = found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles == 1  # by the id alone: counts, then norms
+    assert {(r["id"], r["term"]): r["tf"] for r in rows(found) if " " not in r["term"]} == {
+        (1, "aa"): 1, (1, "bb"): 3, (2, "aa"): 1, (2, "cc"): 1, (None, "aa"): 1
+    }
+
+
 def test_vocabulary_keeps_the_most_frequent_terms(spark):
     frame = spark.createDataFrame([("aa aa aa bb cc",), ("aa bb cc bb",)], "text string")
     kept = [r["term"] for r in rows(text.tfidf_vocabulary(frame, min_df=2, max_terms=2))]
