@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ from tokenizers import Tokenizer
 from sellerscope.llm.encoding import TextEncoder
 from sellerscope.llm.parts import Batches, bucketed, numbered
 
-PART_BYTES = 4 << 20  # of ids; bounds the memory of a task
+PART_BYTES = 4 << 20  # of ids; bounds the table that a task is given
+BLOCK_BYTES = 512 << 10  # of ids aligned at once, in whole documents; bounds the links that a task holds
 _WORDS_KEPT, _WORD_CHARS = 300_000, 64  # words whose ids a worker remembers, and their greatest length
 _SPACE = "▁"
 
@@ -224,6 +226,14 @@ class _Part:
         return self.ids[0][a] << 32 | self.ids[1][b]
 
 
+def _blocks(table: pa.Table) -> Iterator[pa.Table]:
+    """The documents of a part, in order, some at a time."""
+    sizes = sum(pc.fill_null(pc.binary_length(table[c]), 0).to_numpy().astype(np.int64) for c in ("a", "b"))
+    block = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
+    ends = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    return (table.slice(i, j - i) for i, j in zip(ends, ends[1:]))
+
+
 _LENGTHS: dict[tuple[str, str], np.ndarray] = {}
 
 
@@ -256,22 +266,30 @@ def _groups(part: _Part, common_a: np.ndarray, common_b: np.ndarray, size: int)
     return ["".join(listed[i:j])[:-1] for i, j in zip([0, *ends], ends)]
 
 
+def _linked_docs(table: pa.Table, kinds: _Kinds) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of ids, sorted, and in how many documents of ``table`` each of them is."""
+    part = _Part.of(table, kinds)
+    doc, a, b, _, _ = part.linked()
+    pair = part.pairs(a, b)
+    order = np.argsort(pair, kind="stable")  # links of a document stay together
+    pair, doc = pair[order], doc[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    once = new.copy()
+    once[1:] |= doc[1:] != doc[:-1]
+    first = np.flatnonzero(new)
+    return pair[first], np.add.reduceat(once.astype(np.int64), first) if len(first) else first
+
+
 def _pairs(kinds: _Kinds):
     def run(table: pa.Table) -> pa.Table:
         """(part, pair, n_docs): in how many documents of the part a pair of ids is linked."""
-        part = _Part.of(table, kinds)
-        doc, a, b, _, _ = part.linked()
-        pair = part.pairs(a, b)
-        order = np.argsort(pair, kind="stable")  # links of a document stay together
-        pair, doc = pair[order], doc[order]
-        new = np.ones(len(pair), bool)
-        new[1:] = pair[1:] != pair[:-1]
-        once = new.copy()
-        once[1:] |= doc[1:] != doc[:-1]
-        first = np.flatnonzero(new)
-        docs = np.add.reduceat(once.astype(np.int64), first) if len(first) else first
-        number = pa.array([table["part"][0].as_py()] * len(first), pa.int64())
-        return pa.Table.from_arrays([number, pa.array(pair[first]), pa.array(docs)], ["part", "pair", "n_docs"])
+        found = [_linked_docs(block, kinds) for block in _blocks(table)]  # a document lies in one block
+        pair, at = np.unique(np.concatenate([pairs for pairs, _ in found]), return_inverse=True)
+        docs = np.zeros(len(pair), np.int64)
+        np.add.at(docs, at, np.concatenate([n for _, n in found]))
+        number = pa.array([table["part"][0].as_py()] * len(pair), pa.int64())
+        return pa.Table.from_arrays([number, pa.array(pair), pa.array(docs)], ["part", "pair", "n_docs"])
 
     return run
 
@@ -282,25 +300,30 @@ _COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 def _described(kinds: _Kinds):
     def run(table: pa.Table, counts: pa.Table) -> pa.Table:
         """The groups of every document of a part, and what the corpus says of its links."""
-        part = _Part.of(table, kinds)
-        doc, a, b, common_a, common_b = part.linked()
         known, times, best = (counts[c].to_numpy() for c in ("pair", "n", "best"))
         order = np.argsort(known)
-        at = order[np.searchsorted(known, part.pairs(a, b), sorter=order)]
-        n = len(part.sizes[0])
-        links = np.bincount(doc, minlength=n)
-        order = np.argsort(doc, kind="stable")
-        ends = np.append(0, np.cumsum(links))
-
-        def summed(values: np.ndarray) -> np.ndarray:
-            return np.diff(np.append(0, np.cumsum(values[at][order]))[ends])
-
-        groups = np.bincount(np.repeat(np.arange(n), part.sizes[0])[common_a], minlength=n)
+        known, times, best = known[order], times[order], best[order].astype(np.int64)
         size = max(len(t.bytes) for t in kinds.tables())
-        figures = [*part.sizes, groups, links, summed(best.astype(np.int64)), summed(times)]
-        columns = [pa.array(f.astype(np.int64)) for f in figures]
-        text = pa.array(_groups(part, common_a, common_b, size), pa.string())
-        return pa.Table.from_arrays([table["doc_id"], *columns, text], ["doc_id", *_COUNTS, "groups"])
+
+        def described(block: pa.Table) -> pa.Table:
+            part = _Part.of(block, kinds)
+            doc, a, b, common_a, common_b = part.linked()
+            at = np.searchsorted(known, part.pairs(a, b))
+            n = len(part.sizes[0])
+            links = np.bincount(doc, minlength=n)
+            order = np.argsort(doc, kind="stable")
+            ends = np.append(0, np.cumsum(links))
+
+            def summed(values: np.ndarray) -> np.ndarray:
+                return np.diff(np.append(0, np.cumsum(values[at][order]))[ends])
+
+            groups = np.bincount(np.repeat(np.arange(n), part.sizes[0])[common_a], minlength=n)
+            figures = [*part.sizes, groups, links, summed(best), summed(times)]
+            columns = [pa.array(f.astype(np.int64)) for f in figures]
+            text = pa.array(_groups(part, common_a, common_b, size), pa.string())
+            return pa.Table.from_arrays([block["doc_id"], *columns, text], ["doc_id", *_COUNTS, "groups"])
+
+        return pa.concat_tables([described(block) for block in _blocks(table)])
 
     return run
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -153,3 +154,21 @@ def test_digests_follow_from_groups(documents, staged):
     shown = {r["doc_id"]: r["groups"] for r in found}
     assert shown[2] == "" and re.fullmatch(r"[\d,]+\|[\d,]+(;[\d,]+\|[\d,]+)*", shown[1])
     assert len(hashlib.sha256(shown[1].encode()).hexdigest()) == 64
+
+
+def test_alignment_holds_the_links_of_a_few_documents_at_once(monkeypatch):
+    kinds = alignment._Kinds(BYTE_PAIRS, PIECES, "<u2", "<u2")
+    texts = [f"number {i % 7} of the repeated words" for i in range(60)] + [""]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(61)), pa.array(texts)], ["doc_id", "text"])
+    table = pa.Table.from_batches(kinds.encoded(iter([rows])))
+    table = table.add_column(0, "part", pa.array([5] * 61, pa.int64()))
+    pairs = alignment._pairs(kinds)(table)
+    counts = pa.table({"pair": pairs["pair"], "n": pairs["n_docs"], "best": pa.array([i % 2 == 0 for i in range(len(pairs))])})
+    whole = alignment._described(kinds)(table, counts)
+
+    held, linked = [], alignment._Part.linked
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(alignment._Part, "linked", lambda part: held.append(len(part.sizes[0])) or linked(part))
+    assert alignment._pairs(kinds)(table).to_pydict() == pairs.to_pydict()
+    assert alignment._described(kinds)(table, counts).to_pydict() == whole.to_pydict()
+    assert sum(held) == 2 * 61 and max(held) < 20
