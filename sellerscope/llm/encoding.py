@@ -1,8 +1,9 @@
 """Token ids of whole texts by a byte-level vocabulary file, piece by piece.
 
 Every distinct piece of text is encoded by the tokenizers library once and kept by the worker; texts are
-then put together from the ids of their pieces. Texts that hold a special string or characters that
-Unicode versions class differently are encoded by the library whole.
+then put together from the ids of their pieces. A piece is what the vocabulary's pre-tokenizer would make of it, so it is
+given to the library's model itself where nothing but byte-level pre-tokenization comes before the model. Texts that hold a
+special string or characters that Unicode versions class differently are encoded by the library whole.
 """
 
 from __future__ import annotations
@@ -18,17 +19,36 @@ from tokenizers import Tokenizer
 from sellerscope.llm.pieces import PieceCache, blocks
 
 
+@lru_cache(maxsize=1)
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: from 256 on for bytes that do not print."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _model_alone(spec: dict) -> bool:
+    """Whether a vocabulary file asks for byte-level pre-tokenization and its model, and for nothing else in a piece."""
+    before = spec["pre_tokenizer"] or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return plain and not spec["normalizer"] and not spec["truncation"] and not spec["padding"] and all(t["special"] for t in spec["added_tokens"])
+
+
 class TextEncoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            special = [re.escape(t["content"]) for t in json.load(f)["added_tokens"]]
+            spec = json.load(f)
+        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special) or r"(?!)")
         self.library = Tokenizer.from_file(path)
-        self.cache = PieceCache(self._encoded)
+        self.cache = PieceCache(self._by_model if _model_alone(spec) else self._encoded)
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        return [self.library.encode(p, add_special_tokens=False).ids for p in pieces]
 
-    def _encoded(self, pieces: list[str]) -> list[np.ndarray]:
-        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in found]
+    def _by_model(self, pieces: list[str]) -> list[list[int]]:
+        tokenize, written = self.library.model.tokenize, byte_characters()
+        return [[t.id for t in tokenize(p.encode().decode("latin-1").translate(written))] for p in pieces]
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)

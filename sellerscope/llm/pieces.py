@@ -13,7 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 
@@ -167,7 +167,8 @@ def blocks(texts: Iterator[tuple[int, str]], size: int | None = None) -> Iterato
 class PieceCache:
     """Values of pieces seen before: a row of a flat pool, found by the piece's 128-bit key.
 
-    ``values(strings)`` gives a list of int32 arrays for new pieces. At ``most`` pieces the cache starts
+    ``values(strings)`` gives the values of each of the new pieces, a list of whole numbers for every one. Rows are found in a hash
+    table of row numbers with open addressing, for all pieces of a block at once. At ``most`` pieces the cache starts
     anew, which costs time and changes no result.
     """
 
@@ -176,7 +177,9 @@ class PieceCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.held = 0
+        self.slots = np.full(1 << 13, -1, np.int32)
+        self.keys = np.zeros(1 << 12, np.uint64)
         self.checks = np.zeros(1 << 12, np.uint64)
         self.offsets = np.zeros((1 << 12) + 1, np.int64)
         self.pool = np.zeros(1 << 14, np.int32)
@@ -185,32 +188,60 @@ class PieceCache:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
-    def _add(self, keys: list[int], checks: np.ndarray, strings: list[str]) -> None:
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        """Where the search for a key starts: the upper bits of a product, as many as slots need."""
+        bits = len(self.slots).bit_length() - 1
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of every key, -1 for new ones."""
+        at, last = self._slot(keys), len(self.slots) - 1
+        rows = self.slots[at]
+        left = np.flatnonzero((self.keys[rows] != keys) & (rows >= 0))
+        while left.size:
+            at[left] = (at[left] + 1) & last
+            rows[left] = self.slots[at[left]]
+            left = left[(self.keys[rows[left]] != keys[left]) & (rows[left] >= 0)]
+        return rows.astype(np.int64)
+
+    def _place(self, rows: np.ndarray) -> None:
+        """Give new rows, whose keys differ, a slot each."""
+        at, last = self._slot(self.keys[rows]), len(self.slots) - 1
+        while rows.size:
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]  # of several rows at a slot the last one gets it
+            left = self.slots[at] != rows
+            rows, at = rows[left], (at[left] + 1) & last
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, strings: list[str]) -> None:
         found = self.values(strings)
-        n, sizes = len(self.rows), np.array([len(v) for v in found], np.int64)
-        self.checks = self._room(self.checks, n + len(keys))
-        self.offsets = self._room(self.offsets, n + len(keys) + 1)
-        ends = self.offsets[n] + np.cumsum(sizes)
+        n, upto = self.held, self.held + len(keys)
+        ends = self.offsets[n] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.keys, self.checks = self._room(self.keys, upto), self._room(self.checks, upto)
+        self.offsets = self._room(self.offsets, upto + 1)
         self.pool = self._room(self.pool, int(ends[-1]))
-        self.pool[self.offsets[n] : ends[-1]] = np.concatenate(found)
-        self.checks[n : n + len(keys)] = checks
-        self.offsets[n + 1 : n + len(keys) + 1] = ends
-        self.rows.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.pool[self.offsets[n] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1] - self.offsets[n]))
+        self.keys[n:upto], self.checks[n:upto] = keys, checks
+        self.offsets[n + 1 : upto + 1] = ends
+        self.held = upto
+        if 2 * upto > len(self.slots):  # at most half full
+            self.slots = np.full(1 << (4 * upto).bit_length(), -1, np.int32)
+            n = 0
+        self._place(np.arange(n, upto, dtype=np.int32))
 
     def lookup(self, block: Block, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The cache row of every piece; rows hold until the next lookup."""
         keys, checks = block.keys(first, end)
-        if len(self.rows) > self.most:
+        if self.held > self.most:
             self._clear()
-        listed = keys.tolist()
-        rows = np.fromiter(map(self.rows.get, listed, repeat(-1)), np.int64, len(listed))
+        rows = self._find(keys)
         new = np.flatnonzero(rows < 0)
         if new.size:
             _, where, back = np.unique(keys[new], return_index=True, return_inverse=True)
             at = new[where]
             strings = [block.text[a:b] for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
-            base = len(self.rows)
-            self._add(keys[at].tolist(), checks[at], strings)
+            base = self.held
+            self._add(keys[at], checks[at], strings)
             rows[new] = base + back
         if (self.checks[rows] != checks).any():
             raise RuntimeError("two pieces share a 64-bit key; use other hash bases")

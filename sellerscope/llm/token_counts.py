@@ -97,9 +97,8 @@ class TextCounter:
         self.cache = PieceCache(self._counts)
         self.library = Tokenizer.from_file(path)
 
-    def _counts(self, pieces: list[str]) -> list[np.ndarray]:
-        counts = [self.merges.count(p.encode("utf-8", "surrogatepass")) for p in pieces]
-        return list(np.array(counts, np.int32).reshape(-1, 1))
+    def _counts(self, pieces: list[str]) -> list[tuple[int]]:
+        return [(self.merges.count(p.encode("utf-8", "surrogatepass")),) for p in pieces]
 
     @staticmethod
     def _normal(text: str) -> str:

@@ -163,3 +163,17 @@ def test_packed_pieces(spark, documents, staged, edge_rows):
 
 def test_packing_nothing(spark, documents, staged):
     assert packing.pack(staged(packing.token_pieces(documents([]), BYTES), "pieces")).count() == 0
+
+
+def test_pieces_are_told_apart_and_found_again(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    texts = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+    encoder = TextEncoder(BYTES)
+    found = [x.tolist() for _, x in encoder.encode(texts, 0)]
+    library = Tokenizer.from_file(BYTES)
+    assert found == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    distinct = {(" " if i % 200 else "") + w for i, w in enumerate(words)}
+    assert encoder.cache.held == len(distinct) <= len(encoder.cache.slots) // 2
+    monkeypatch.setattr(encoder.cache, "values", None)  # nothing is encoded twice
+    assert [x.tolist() for _, x in encoder.encode(texts, 0)] == found
