@@ -24,7 +24,6 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sellerscope.llm.encoding import TextEncoder
+from sellerscope.llm.encoding import TextEncoder, byte_characters
 from sellerscope.llm.parts import Batches, bucketed, numbered
 
 PART_BYTES = 4 << 20  # of ids; bounds the table that a task is given
@@ -52,10 +51,7 @@ class BytePairs(TextEncoder):
         super().__init__(path)
         self.special = re.compile(r"(?!)")
         self.library.encode_special_tokens = True
-        # Byte-level vocabularies write bytes that do not print as characters from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(plain)]
-        back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+        back = {c: b for b, c in byte_characters().items()}
         with open(path, encoding="utf-8") as f:
             entries = json.load(f)["model"]["vocab"]
         self.bytes = [b""] * (max(entries.values()) + 1)
@@ -64,21 +60,21 @@ class BytePairs(TextEncoder):
 
 
 class _Words(dict):
-    """Ids of a blank and a word, by the word, encoded when first asked for."""
+    """Packed ids of a blank and a word, by the word, encoded when first asked for."""
 
-    def __init__(self, library: sentencepiece.SentencePieceProcessor):
+    def __init__(self, encoded: Callable[[str], bytes]):
         super().__init__()
-        self.library = library
+        self.encoded = encoded
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.library.encode(word)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encoded(word)
         if len(word) <= _WORD_CHARS:
             self[word] = ids
         return ids
 
 
 class Pieces:
-    """The sentence-piece tokenizer.
+    """The sentence-piece tokenizer; ids are packed as numbers of ``kind``.
 
     No entry of its vocabulary goes on past a blank, so blanks and the word behind them are encoded on their own, and
     each kind of them once. A vocabulary with such an entry is applied to whole texts.
@@ -86,25 +82,29 @@ class Pieces:
 
     def __init__(self, path: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.kind = _id_type(self.library.vocab_size())
         names = [self.library.id_to_piece(i) for i in range(self.library.vocab_size())]
         byte = re.compile("<0x([0-9A-F]{2})>")
         self.bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace(_SPACE, " ").encode() for p in names]
         self.by_word = not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in names)
-        self.blank = [self.library.piece_to_id(_SPACE)]
-        self.words = _Words(self.library)
+        self.blank = self._packed([self.library.piece_to_id(_SPACE)])
+        self.words = _Words(self._whole)
 
-    def encode(self, text: str) -> list[int]:
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.library.encode(text))
+
+    def encode(self, text: str) -> bytes:
         if not self.by_word:
-            return self.library.encode(text)
+            return self._whole(text)
         if len(self.words) > _WORDS_KEPT:
             self.words.clear()
         words = text.split(" ")
         if "" not in words:
-            return list(chain.from_iterable(map(self.words.__getitem__, words)))
-        found = []
-        for run in re.findall(" +[^ ]*", " " + text):
-            found += self.blank if run == " " else self.words[run[1:]]
-        return found
+            return b"".join(map(self.words.__getitem__, words))
+        return b"".join(self.blank if run == " " else self.words[run[1:]] for run in re.findall(" +[^ ]*", " " + text))
 
 
 @lru_cache(maxsize=1)
@@ -132,10 +132,11 @@ class _Kinds:
             spaced = [" " + t if t else None for t in texts]
             out = []
             for i, ids in first.encode(spaced, 0):
-                a, b = ids[:-1], second.encode(texts[i]) if texts[i] else []
+                a, b = ids[:-1], second.encode(texts[i]) if texts[i] else b""
                 whole = spaced[i].encode("utf-8", "surrogatepass") if texts[i] else b""
-                same = b"".join(map(first.bytes.__getitem__, a.tolist())) == whole and b"".join(map(second.bytes.__getitem__, b)) == whole
-                out.append((a.astype(self.type_a).tobytes(), np.array(b, self.type_b).tobytes()) if same else (b"", b""))
+                told = np.frombuffer(b, second.kind).tolist()
+                same = b"".join(map(first.bytes.__getitem__, a.tolist())) == whole and b"".join(map(second.bytes.__getitem__, told)) == whole
+                out.append((a.astype(self.type_a).tobytes(), np.frombuffer(b, second.kind).astype(self.type_b).tobytes()) if same else (b"", b""))
             columns = [pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "a", "b"])
 

@@ -172,3 +172,12 @@ def test_alignment_holds_the_links_of_a_few_documents_at_once(monkeypatch):
     assert alignment._pairs(kinds)(table).to_pydict() == pairs.to_pydict()
     assert alignment._described(kinds)(table, counts).to_pydict() == whole.to_pydict()
     assert sum(held) == 2 * 61 and max(held) < 20
+
+
+def test_remembered_words_are_packed():
+    """A worker keeps two bytes for an id of a word, not a number object."""
+    tokenizer, library = alignment.Pieces(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in ("one two  three two", " \n", "é日本 word", "a" * 100):
+        assert tokenizer.encode(text) == np.array(library.encode(text), "<u2").tobytes()
+    assert all(isinstance(ids, bytes) and len(ids) % 2 == 0 for ids in tokenizer.words.values())
+    assert "two" in tokenizer.words and "a" * 100 not in tokenizer.words
