@@ -50,6 +50,17 @@ def _cells(df: DataFrame, columns: Sequence[Column], kind: str) -> DataFrame:
     return df.select(F.explode(cells).alias("cell")).select("cell.i", "cell.v").filter("v IS NOT NULL")
 
 
+def _extents(df: DataFrame, columns: Sequence[Column], kind: str) -> list[tuple[int, float, float]]:
+    """Number of values present, least and greatest value of every column: one row, from the columns as they stand."""
+    figures = []
+    for i, c in enumerate(columns):
+        value = c.cast(kind)
+        number = value.cast("double")
+        figures += [F.count(value).alias(f"rows_{i}"), F.min(number).alias(f"low_{i}"), F.max(number).alias(f"high_{i}")]
+    found = df.agg(*figures).first()
+    return [(found[f"rows_{i}"], found[f"low_{i}"], found[f"high_{i}"]) for i in range(len(columns))]
+
+
 class _Ranges:
     """The open ranges of every column, as expressions that look them up by column number."""
 
@@ -204,21 +215,10 @@ def values_at(
     Nothing is shuffled but sketches, counts and the listed values.
     """
     cells = _cells(df, columns, kind)
-    number = F.col("v").cast("double")
-    extent = {
-        row["i"]: row
-        for row in cells.groupBy("i")
-        .agg(F.count("*").alias("rows"), F.min(number).alias("low"), F.max(number).alias("high"))
-        .collect()
-    }
+    extent = _extents(df, columns, kind)
     searches: list[_Search] = []
-    for i in range(len(columns)):
-        if i in extent:
-            row = extent[i]
-            searches += [
-                _Search(i, rank, row["low"], row["high"], 0, row["rows"])
-                for rank in ranks(row["rows"])
-            ]
+    for i, (rows, low, high) in enumerate(extent):
+        searches += [_Search(i, rank, low, high, 0, rows) for rank in (ranks(rows) if rows else ())]
     while pending := [s for s in searches if s.open()]:
         _narrow(cells, pending, len(columns))
     result: list[list[Ranked]] = [[] for _ in columns]

@@ -162,3 +162,10 @@ def test_running_totals(spark):
         expected[row["k"]] = total
         total += row["v"]
     assert found == expected
+
+
+def test_extents_are_one_row_of_figures(spark):
+    """Counts and ends of all columns come from the rows as they stand, without a cell for each value."""
+    frame = spark.createDataFrame([(1.5, None), (None, None), (-2.0, None), (7.0, None)], "a double, b int")
+    assert ranks._extents(frame, [F.col("a"), F.col("b"), F.col("a") + 1], "double") == [(3, -2.0, 7.0), (0, None, None), (3, -1.0, 8.0)]
+    assert ranks._extents(frame.limit(0), [F.col("a")], "double") == [(0, None, None)]
