@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -134,27 +137,33 @@ def _terms(text: str) -> Column:
     return bind(F.regexp_extract_all(plain, F.lit(TERM_PATTERN), 0), with_pairs)
 
 
+def _batch_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and rows of each term within a batch of rows, given the terms of every row."""
+    for batch in batches:
+        terms = batch.column(0)
+        coded = terms.flatten().dictionary_encode()
+        code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        if not size:
+            continue
+        row = pc.list_parent_indices(terms).to_numpy().astype(np.int64)
+        once = np.unique(row * size + code) % size
+        totals = [pa.array(np.bincount(found, minlength=size)) for found in (code, once)]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *totals], ["term", "tf", "df"])
+
+
 def tfidf_vocabulary(
     frame: DataFrame, text: str = "text", min_df: int = 5, max_terms: int = 20_000
 ) -> DataFrame:
     """Most frequent terms found in at least ``min_df`` rows, numbered in sorted order.
 
-    Occurrences and rows per term are totalled in one grouping by term, combined before the
-    shuffle: each row contributes its terms once as they stand and once without repeats.
+    Occurrences and rows per term are totalled batch by batch first, so a term of many rows reaches the grouping by
+    term once for each batch; the grouping combines before the shuffle.
     """
-
-    def entries(terms: Column, tf: int, df: int) -> Column:
-        return F.transform(
-            terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
-        )
-
-    # The outer form keeps the optimizer from tokenizing twice for a "not empty" filter; texts
-    # without terms leave a missing term, which has no rows to its name and is filtered out.
-    both = bind(_terms(text), lambda t: F.concat(entries(t, 1, 0), entries(F.array_distinct(t), 0, 1)))
     counted = (
-        frame.select(F.explode_outer(both).alias("t"))
-        .groupBy("t.term")
-        .agg(F.sum("t.tf").alias("total"), F.sum("t.df").alias("df"))
+        frame.select(_terms(text).alias("terms"))
+        .mapInArrow(_batch_totals, "term string, tf bigint, df bigint")
+        .groupBy("term")
+        .agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
         .filter(F.col("df") >= min_df)
     )
     kept = counted.orderBy(F.desc("total"), "term").limit(max_terms)

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from helpers import review, rows
 from pyspark.sql import Observation
@@ -117,3 +118,19 @@ def test_classifier_learns_once_the_session_has_observed_a_figure(spark):
     spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
     assert seen.get == {"n": 3}
     test_classifier_learns_and_names_its_terms(spark)
+
+
+def test_vocabulary_totals_a_batch_before_the_grouping():
+    rows = pa.array([["a", "b", "a"], [], ["b", "c"], ["a"]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([rows], ["terms"])
+    empty = batch.slice(1, 1)
+    found = [r for b in text._batch_totals(iter([batch, empty, batch.slice(2)])) for r in b.to_pylist()]
+    assert sorted(tuple(r.values()) for r in found) == [
+        ("a", 1, 1), ("a", 3, 2), ("b", 1, 1), ("b", 2, 2), ("c", 1, 1), ("c", 1, 1),
+    ]
+
+
+def test_vocabulary_of_missing_and_repeated_texts(spark):
+    frame = spark.createDataFrame([("ab cd ab cd",), (None,), ("",), ("cd ab",), ("cd ab",)], "text string")
+    found = [tuple(r) for r in text.tfidf_vocabulary(frame, min_df=2).orderBy("term").collect()]
+    assert found == [("ab", 0, 4, 3), ("cd", 1, 4, 3), ("cd ab", 2, 3, 3)]
