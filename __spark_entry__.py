@@ -17,7 +17,7 @@ from sellerscope.functions.expressions import clip, round_sql  # noqa: E402
 from sellerscope.operators import attribution, features, metrics, models, splits, text, tree_attribution  # noqa: E402
 from sellerscope.operators import seller_score as seller  # noqa: E402
 from sellerscope.plans import reports, views  # noqa: E402
-from sellerscope.session import ROW_KEYS, stage, staging_path  # noqa: E402
+from sellerscope.session import ROW_KEYS, side_by_side, stage, staging_path  # noqa: E402
 from sellerscope.settings import (  # noqa: E402
     FEATURE_COLUMNS,
     NEGATIVE_LABEL_MAX_SCORE,
@@ -133,11 +133,10 @@ def _loaded(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str], Tabl
     """Folder of a catalog loaded from CSV copies of the tables, its source files, the tables and the load's report."""
     root = staging_path(spark, "catalog")
     tables = from_testdata(spark, sf_dir)
-    for name, frame in tables.items():
-        write_csv(frame, f"{root}/csv/{name}")
     # The generated data has no places; the nation table stands in, as it is loaded but not read.
-    write_csv(read_table(spark, sf_dir, "nation"), f"{root}/csv/geolocation")
-    files = {name: name for name in [name for name, _ in tables.items()] + ["geolocation"]}
+    sources = dict(tables.items()) | {"geolocation": read_table(spark, sf_dir, "nation")}
+    side_by_side({name: partial(write_csv, frame, f"{root}/csv/{name}") for name, frame in sources.items()})
+    files = {name: name for name in sources}
     return root, files, *load_catalog(spark, f"{root}/csv", f"{root}/tables", files)
 
 
@@ -216,7 +215,7 @@ def _stored(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, str]:
         _TRAINED[keys[name]] = path
         return path
 
-    models.side_by_side({name: partial(train_one, name) for name in names if keys[name] not in _TRAINED})
+    side_by_side({name: partial(train_one, name) for name in names if keys[name] not in _TRAINED})
     return {name: _TRAINED[keys[name]] for name in names}
 
 

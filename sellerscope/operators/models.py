@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial, reduce
 from itertools import islice
-from typing import TypeVar
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -24,12 +21,10 @@ from pyspark.sql import functions as F
 
 from sellerscope.operators.metrics import best_model, evaluate, model_ranking, roc_auc, with_prediction
 from sellerscope.operators.splits import oversample, time_split, with_balanced_weight
-from sellerscope.session import ROW_KEYS, stage, stage_with_row_keys
+from sellerscope.session import ROW_KEYS, side_by_side, stage, stage_with_row_keys
 from sellerscope.settings import FEATURE_COLUMNS, RANDOM_SEED
 from sellerscope.sources.artifacts import stage_model
 
-T = TypeVar("T")
-
 LABEL = "is_negative"
 
 # Training parameters of the compared models.
@@ -163,16 +158,6 @@ def trainers(
     }
 
 
-def side_by_side(work: dict[str, Callable[[], T]]) -> dict[str, T]:
-    """Results of independent pieces of driver work, run at the same time.
-
-    Training is a long row of short jobs; rows of different models fill each other's gaps on the cluster.
-    """
-    with ThreadPoolExecutor(max(len(work), 1)) as pool:
-        running = {name: pool.submit(inheritable_thread_target(piece)) for name, piece in work.items()}
-        return {name: future.result() for name, future in running.items()}
-
-
 def compare_models(
     features: DataFrame,
     shallow_trees: int = SHALLOW_TREES,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sellerscope.plans.views import order_core, seller_orders
 from sellerscope.schema import SCHEMAS
+from sellerscope.session import side_by_side
 from sellerscope.sources import snapshots
 from sellerscope.sources.quoted_lines import read_quoted_csv
 from sellerscope.tables import Tables
@@ -51,15 +54,17 @@ def load_catalog(
     """Replace all tables of the catalog at ``target_dir`` by their CSV files, at once, and register the views.
 
     ``files`` maps table to file name (``<table>.csv`` by default). The tables are a new snapshot, which becomes valid
-    when all of them are written; a load that fails leaves the catalog as it was. Order, item, payment and review
+    when all of them are written, side by side; a load that fails leaves the catalog as it was. Order, item, payment and review
     tables are bucketed by order (``buckets`` as in ``snapshots.write_table``). Returns the tables and a frame
     with one row per table: name, rows and columns loaded. Rows are counted by the write itself.
     """
     version, snapshot = snapshots.begin(spark, target_dir)
-    stored = []
-    for table in SCHEMAS:
+
+    def load_one(table: str) -> snapshots.StoredTable:
         frame = read_csv_table(spark, table, f"{source_dir}/{(files or {}).get(table, f'{table}.csv')}")
-        stored.append(snapshots.write_table(frame, target_dir, snapshot, table, buckets))
+        return snapshots.write_table(frame, target_dir, snapshot, table, buckets)
+
+    stored = list(side_by_side({table: partial(load_one, table) for table in SCHEMAS}).values())
     snapshots.commit(spark, target_dir, version, snapshot, stored)
     summary = [(t.name, t.n_rows, t.n_cols) for t in stored]
     return _opened(spark, target_dir, snapshot, stored), spark.createDataFrame(

@@ -1,5 +1,6 @@
 from datetime import datetime
 from pathlib import Path
+from threading import Barrier
 from types import SimpleNamespace
 
 import pytest
@@ -70,6 +71,30 @@ def test_breaks_inside_quotes_across_splits(spark, tmp_path, ending, split_bytes
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_records_are_cut_without_a_shuffle_of_the_text(spark, tmp_path):
+    path = write(tmp_path / "reviews.csv", 'order_id,note\n' + 'o,"two\nlines"\n' * 50)
+    records = quoted_lines.csv_records(spark, path)
+    assert records.filter("NOT header").distinct().collect() == [('o,"two\nlines"', False)] and records.count() == 51
+    tree = records._jdf.queryExecution().executedPlan().toString().splitlines()
+    whole = [line for line in tree if line.lstrip().startswith(":")]  # the branch of records that cross no border
+    assert any("MapInArrow" in line for line in whole) and not any("Exchange hashpartitioning" in line for line in whole)
+
+
+def test_pieces_of_work_run_at_the_same_time_and_all_end():
+    met, ended = Barrier(3, timeout=60), []
+
+    def piece(name, error=None):
+        met.wait()
+        ended.append(name)
+        if error:
+            raise error
+        return name
+
+    with pytest.raises(FileNotFoundError):
+        session.side_by_side({"a": lambda: piece("a"), "b": lambda: piece("b", FileNotFoundError()), "c": lambda: piece("c", ValueError())})
+    assert sorted(ended) == ["a", "b", "c"]
+
+
 def test_quoted_csv_of_nothing(spark, tmp_path):
     assert quoted_lines.read_quoted_csv(spark, write(tmp_path / "empty.csv", "")).count() == 0
     header = quoted_lines.read_quoted_csv(spark, write(tmp_path / "header.csv", "order_id,note\n"))
