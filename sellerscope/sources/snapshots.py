@@ -27,6 +27,8 @@ from sellerscope.functions.joins import TRACKED
 BUCKET_KEYS = {t: "order_id" for t in ("orders", "order_items", "order_payments", "order_reviews")}
 MAX_KEY_ROWS = 1 << 20  # rows of one key that a bucket may hold whatever the number of rows
 
+_CODEC = "zstd"  # a snapshot is written once and read often
+
 _COMMIT = (
     "version bigint, snapshot string, "
     "tables array<struct<name string, columns string, n_rows bigint, n_cols int, key string, buckets int>>"
@@ -45,15 +47,14 @@ class StoredTable:
     buckets: int
 
 
-def fits_buckets(frame: DataFrame, key: str, buckets: int) -> bool:
-    """Whether no value of ``key``, missing ones included, makes one bucket much larger than the others.
+def key_sizes(frame: DataFrame, key: str) -> tuple[int, int]:
+    """Rows of a table, and about how many of them the most frequent value of ``key`` has, missing ones included.
 
     Reads the key column once; the sketch has one row.
     """
     top = F.expr(f"approx_top_k(`{key}`, 1, {TRACKED})").alias("top")
     found = frame.agg(top, F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("missing")).first()
-    heaviest = max([found["missing"], *[x["count"] for x in found["top"]]])
-    return heaviest <= max(MAX_KEY_ROWS, found["n"] / buckets)
+    return found["n"], max([found["missing"], *[x["count"] for x in found["top"]]])
 
 
 def begin(spark: SparkSession, catalog: str) -> tuple[int, str]:
@@ -71,19 +72,24 @@ def write_table(frame: DataFrame, catalog: str, snapshot: str, name: str, bucket
     key, path = BUCKET_KEYS.get(name), f"{catalog}/snapshots/{snapshot}/{name}"
     if buckets is None:
         buckets = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if frame.isEmpty():  # nothing is observed where the optimizer finds no rows
+    if key is None or buckets < 1:
+        key, buckets, empty = None, 0, frame.isEmpty()
+    else:
+        n, heaviest = key_sizes(frame, key)
+        empty = n == 0
+        if heaviest > max(MAX_KEY_ROWS, n / buckets):
+            key, buckets = None, 0
+    if empty:  # nothing is observed where the optimizer finds no rows
         frame.write.mode("error").parquet(path)
         return StoredTable(name, frame.schema.json(), 0, len(frame.columns), None, 0)
-    if key is None or buckets < 1 or not fits_buckets(frame, key, buckets):
-        key, buckets = None, 0
     written = Observation()
     counted = frame.observe(written, F.count(F.lit(1)).alias("n_rows"))
     if key is None:
-        counted.write.mode("error").parquet(path)
+        counted.write.mode("error").option("compression", _CODEC).parquet(path)
     else:
         # Partitioned as the buckets are, a task writes the one file of its bucket.
         dealt = counted.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
-        dealt.mode("error").option("path", path).saveAsTable(_registered(snapshot, name))
+        dealt.mode("error").option("compression", _CODEC).option("path", path).saveAsTable(_registered(snapshot, name))
     return StoredTable(name, frame.schema.json(), written.get["n_rows"], len(frame.columns), key, buckets)
 
 
