@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from sellerscope.tables import Tables
 
 # A term is a run of two or more letters, digits or underscores.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
+# Words whose terms are totalled at once: bounds the memory of a task.
+WORDS_AT_ONCE = 1 << 20
 
 
 # --- lexicon ------------------------------------------------------------------------------------
@@ -126,6 +129,12 @@ def _low(low_score_max: int) -> Column:
 # --- TF-IDF -------------------------------------------------------------------------------------
 
 
+def _single_terms(text: str) -> Column:
+    """The single words of a text, in order."""
+    plain = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return F.regexp_extract_all(plain, F.lit(TERM_PATTERN), 0)
+
+
 def _terms(text: str) -> Column:
     """The single words of a text and the pairs of neighbouring words, in one array."""
 
@@ -133,22 +142,45 @@ def _terms(text: str) -> Column:
         pairs = F.transform(single, lambda w, i: F.concat(w, F.lit(" "), F.get(single, i + 1)))
         return F.concat(single, F.filter(pairs, lambda p: p.isNotNull()))
 
-    plain = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return bind(F.regexp_extract_all(plain, F.lit(TERM_PATTERN), 0), with_pairs)
+    return bind(_single_terms(text), with_pairs)
+
 
+def _rows_at_once(words: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Runs of rows with about ``WORDS_AT_ONCE`` words, a longer row by itself."""
+    ends, at = words.offsets.to_numpy()[1:].astype(np.int64), 0
+    while at < len(words):
+        start = ends[at - 1] if at else words.offsets[0].as_py()
+        n = max(int(np.searchsorted(ends, start + WORDS_AT_ONCE, "right")) - at, 1)
+        yield words.slice(at, n)
+        at += n
 
-def _batch_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and rows of each term within a batch of rows, given the terms of every row."""
-    for batch in batches:
-        terms = batch.column(0)
+
+def _totals(code: np.ndarray, row: np.ndarray, size: int) -> list[pa.Array]:
+    """Occurrences and rows of each of ``size`` codes."""
+    once = np.unique(row * size + code) % max(size, 1)  # no rows, no size
+    return [pa.array(np.bincount(found, minlength=size)) for found in (code, once)]
+
+
+def _batch_totals(batches: Iterator[pa.RecordBatch], pairs: bool = False) -> Iterator[pa.RecordBatch]:
+    """Occurrences and rows of each term within some rows, given the terms of every row; if asked for, of neighbouring pairs too.
+
+    Pairs are pairs of numbers; only the distinct ones are put into words.
+    """
+    names = ["term", "tf", "df"]
+    for terms in (run for batch in batches for run in _rows_at_once(batch.column(0))):
         coded = terms.flatten().dictionary_encode()
-        code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-        if not size:
+        known, code = coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64)
+        if not len(known):
             continue
         row = pc.list_parent_indices(terms).to_numpy().astype(np.int64)
-        once = np.unique(row * size + code) % size
-        totals = [pa.array(np.bincount(found, minlength=size)) for found in (code, once)]
-        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *totals], ["term", "tf", "df"])
+        yield pa.RecordBatch.from_arrays([known, *_totals(code, row, len(known))], names)
+        if pairs:
+            near = row[1:] == row[:-1]
+            coded = pa.array((code[:-1] * len(known) + code[1:])[near]).dictionary_encode()
+            first, second = (known.take(pa.array(x)) for x in np.divmod(coded.dictionary.to_numpy(), len(known)))
+            code = coded.indices.to_numpy().astype(np.int64)
+            joined = pc.binary_join_element_wise(first, second, " ")
+            yield pa.RecordBatch.from_arrays([joined, *_totals(code, row[:-1][near], len(joined))], names)
 
 
 def tfidf_vocabulary(
@@ -156,12 +188,12 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """Most frequent terms found in at least ``min_df`` rows, numbered in sorted order.
 
-    Occurrences and rows per term are totalled batch by batch first, so a term of many rows reaches the grouping by
-    term once for each batch; the grouping combines before the shuffle.
+    Occurrences and rows per term are totalled for some rows at a time first, so a term of many rows reaches the grouping by
+    term once for each such run; the grouping combines before the shuffle. Tasks are sent single words only, pairs are made there.
     """
     counted = (
-        frame.select(_terms(text).alias("terms"))
-        .mapInArrow(_batch_totals, "term string, tf bigint, df bigint")
+        frame.select(_single_terms(text).alias("words"))
+        .mapInArrow(partial(_batch_totals, pairs=True), "term string, tf bigint, df bigint")
         .groupBy("term")
         .agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
         .filter(F.col("df") >= min_df)

@@ -134,3 +134,24 @@ def test_vocabulary_of_missing_and_repeated_texts(spark):
     frame = spark.createDataFrame([("ab cd ab cd",), (None,), ("",), ("cd ab",), ("cd ab",)], "text string")
     found = [tuple(r) for r in text.tfidf_vocabulary(frame, min_df=2).orderBy("term").collect()]
     assert found == [("ab", 0, 4, 3), ("cd", 1, 4, 3), ("cd ab", 2, 3, 3)]
+
+
+def words_of(rows):
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["words"])
+
+
+def test_terms_are_totalled_some_words_at_a_time(monkeypatch):
+    """Few words are held at once, whatever the batch; runs end between rows, and pairs do not reach over them."""
+    rows = [["a", "b", "a", "b"], [], ["b"], ["a", "b"], ["c", "c", "c"], []]
+    batches = [words_of(rows).slice(1), words_of(rows).slice(0, 1), words_of([]), words_of([[], []])]
+    expected = {"a": (3, 2), "b": (4, 3), "c": (3, 1), "a b": (3, 2), "b a": (1, 1), "c c": (2, 1)}
+    for most, n_runs in ((1 << 20, 4), (3, 6), (1, 8)):
+        monkeypatch.setattr(text, "WORDS_AT_ONCE", most)
+        found, runs = {}, 0
+        for batch in text._batch_totals(iter(batches), pairs=True):
+            runs += 1
+            for term, tf, df in zip(*(c.to_pylist() for c in batch.columns)):
+                before = found.get(term, (0, 0))
+                found[term] = (before[0] + tf, before[1] + df)
+        assert found == expected
+        assert runs >= n_runs
