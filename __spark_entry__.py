@@ -24,7 +24,7 @@ from sellerscope.settings import (  # noqa: E402
     SCORE_GRADES,
     SCORE_WEIGHTS,
 )
-from sellerscope.sources.csv_tables import load_catalog, open_catalog, read_csv_table, register_views  # noqa: E402
+from sellerscope.sources.csv_tables import QUOTED_BREAKS, load_catalog, open_catalog, read_csv_table, register_views  # noqa: E402
 from sellerscope.sources.artifacts import (  # noqa: E402
     load_model,
     read_csv_or_empty,
@@ -135,7 +135,9 @@ def _loaded(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str], Tabl
     tables = from_testdata(spark, sf_dir)
     # The generated data has no places; the nation table stands in, as it is loaded but not read.
     sources = dict(tables.items()) | {"geolocation": read_table(spark, sf_dir, "nation")}
-    side_by_side({name: partial(write_csv, frame, f"{root}/csv/{name}") for name, frame in sources.items()})
+    # The copies take several times the space of the tables; those read by their bytes stay plain.
+    codecs = {name: "none" if name in QUOTED_BREAKS else "gzip" for name in sources}
+    side_by_side({name: partial(write_csv, frame, f"{root}/csv/{name}", codecs[name]) for name, frame in sources.items()})
     files = {name: name for name in sources}
     return root, files, *load_catalog(spark, f"{root}/csv", f"{root}/tables", files)
 

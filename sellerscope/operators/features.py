@@ -165,7 +165,7 @@ def reviewed_orders(tables: Tables) -> DataFrame:
     scored = tables.order_reviews.filter("review_score IS NOT NULL").select(
         "order_id", "review_score"
     )
-    return stage(order_inputs(tables), "order-inputs").join(scored, "order_id")
+    return stage(order_inputs(tables), "order-inputs", "zstd").join(scored, "order_id")
 
 
 def derived_features(
@@ -202,7 +202,7 @@ def unfilled_features(
     tables: Tables, label_max_score: int = NEGATIVE_LABEL_MAX_SCORE
 ) -> DataFrame:
     """Feature matrix with missing values left in place, written once for the passes that follow."""
-    frame = stage(derived_features(reviewed_orders(tables), label_max_score), "features")
+    frame = stage(derived_features(reviewed_orders(tables), label_max_score), "features", "zstd")
     # The codes are stored, so their true size is known and the matrix does not move for them.
     codes = stage(state_codes(frame), "state-codes")
     coded = lookup_join(

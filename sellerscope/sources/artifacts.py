@@ -17,8 +17,8 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, codec: str = "none") -> None:
+    df.write.mode("overwrite").option("header", True).csv(path, compression=codec)
 
 
 def read_parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:

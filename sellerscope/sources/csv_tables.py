@@ -15,8 +15,8 @@ from sellerscope.sources import snapshots
 from sellerscope.sources.quoted_lines import read_quoted_csv
 from sellerscope.tables import Tables
 
-# Free text may hold line breaks.
-_QUOTED_BREAKS = {"order_reviews"}
+# Free text may hold line breaks; such files are read by their bytes.
+QUOTED_BREAKS = {"order_reviews"}
 
 
 def read_csv_table(spark: SparkSession, table: str, path: str) -> DataFrame:
@@ -26,7 +26,7 @@ def read_csv_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     the file lacks is missing throughout. Undeclared columns are kept as text.
     """
     try:
-        if table in _QUOTED_BREAKS:
+        if table in QUOTED_BREAKS:
             text = read_quoted_csv(spark, path)
         else:
             text = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)

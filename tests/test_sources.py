@@ -231,3 +231,15 @@ def test_staging_needs_a_shared_folder_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.staging_root(named("spark://somewhere"))
     assert session.staging_root(named("local[2]")) == session.staging_root(named("local[2]"))
+
+
+def test_compressed_copies_give_the_same_rows_from_less_space(spark, generated, tmp_path):
+    sizes, found = [], []
+    for codec in ("none", "gzip"):
+        path = tmp_path / codec
+        artifacts.write_csv(generated.order_items, str(path), codec)
+        sizes.append(sum(f.stat().st_size for f in path.glob("part-*")))
+        found.append(sorted(csv_tables.read_csv_table(spark, "order_items", str(path)).collect(), key=str))
+    assert found[0] == found[1] and len(found[0]) == generated.order_items.count()
+    assert sizes[1] < sizes[0] / 2
+    assert session.stage(generated.orders, "small", "zstd").count() == generated.orders.count()
